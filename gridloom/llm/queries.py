@@ -14,7 +14,7 @@ with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_U
      dwin as (select doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') as g
               from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as p from dw, (select distinct m from ig))),
      hit as (select doc_id, item_id, p, d.m from dwin d join iwin i on d.m = i.m and d.g = i.g),
-     places as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(p, p + m)) as at from hit) group by doc_id),
+     places as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(p, p + m)) as place from hit) group by doc_id),
      named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated

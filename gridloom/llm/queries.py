@@ -25,6 +25,10 @@ _WHERE = {
     "op1_warc": "warc",
     "op2_simhash": "simhash",
     "op3_decontaminate": "winnow",
+    "op4_embedding_dedup": "cosine",
+    "op6_mix_sources": "mixing",
+    "op7_url_filter": "urlfilter",
+    "op9_tool_calls": "toolcalls",
 }
 
 
@@ -33,6 +37,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridloom.llm import mixing
+    from gridloom.llm.cosine import OP4_SQL
+    from gridloom.llm.toolcalls import OP9_SQL
     from gridloom.llm.warc import OP1_SQL
 
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op6_mix_sources": mixing.sql(), "op9_tool_calls": OP9_SQL}

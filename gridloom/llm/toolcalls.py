@@ -1,8 +1,9 @@
 """Chat formatting with tool calls: link, order, validate, serialise.
 
 Calls and results are hash-joined by conversation and call id. Calls are ordered so that each stands after those it
-depends on: its level is one more than the highest level below it, found in rounds over the calls not yet ordered, as
-many rounds as the longest chain; then by level, position and id. Arguments are checked against a schema per tool and
+depends on. Where all calls of a conversation depend on earlier positions only, position order is such an order and is
+taken, then id. In the other conversations a call's level is one more than the highest level below it, found in rounds
+over the calls not yet ordered, as many rounds as the longest chain there; they go by level, position and id. Arguments are checked against a schema per tool and
 written as canonical JSON: keys in order, no blanks.
 
 Defined results: a call without result has linked = false and result null; of several results the one of highest
@@ -85,11 +86,19 @@ def fits(arguments: Column, tool: Tool) -> Column:
 
 
 def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(conv_id, call_id, level) of the calls whose dependencies end; calls has conv_id, call_id, depends_on."""
+    """(conv_id, call_id, level) of the calls whose dependencies end; calls has conv_id, call_id, position, depends_on."""
     key = ["conv_id", "call_id"]
-    needs = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = calls.select("conv_id", F.col("call_id").alias("needs"))
-    needs = written(needs.join(known, ["conv_id", "needs"], "left_semi"), "needs")
+    needs = calls.select(*key, "position", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    known = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("position").alias("_where"))
+    needs = written(needs.join(known, ["conv_id", "needs"]), "needs")
+    # a conversation without a need at the same or a later position is in order as it stands
+    unsettled = written(needs.filter("not coalesce(_where < position, false)").select("conv_id").distinct(), "unsettled")
+    settled = calls.select(*key).join(unsettled, "conv_id", "left_anti").withColumn("level", F.lit(0))
+    needs = needs.drop("position", "_where").join(unsettled, "conv_id", "left_semi")
+    if unsettled.isEmpty():
+        return settled
+    calls = calls.join(unsettled, "conv_id", "left_semi")
+    needs = written(needs, "needs")
     done = written(calls.select(*key).join(needs.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "levels")
     out = done
     for level in range(1, rounds):
@@ -98,7 +107,7 @@ def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
         left = written(needs.join(met, ["conv_id", "needs"], "left_anti"), "needs")
         done = written(needs.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "levels")
         if done.isEmpty():
-            return out
+            return out.union(settled)
         out, needs = out.union(done), left
     raise RuntimeError("a chain of calls is longer than the rounds allowed")
 

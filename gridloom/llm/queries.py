@@ -26,9 +26,12 @@ _WHERE = {
     "op2_simhash": "simhash",
     "op3_decontaminate": "winnow",
     "op4_embedding_dedup": "cosine",
+    "op5_language": "langid",
     "op6_mix_sources": "mixing",
     "op7_url_filter": "urlfilter",
+    "op8_toxicity": "toxicity",
     "op9_tool_calls": "toolcalls",
+    "op10_mixing_lm": "mixlm",
 }
 
 

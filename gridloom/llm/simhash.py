@@ -169,3 +169,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by shingle similarity: SimHash finds candidates, the Jaccard similarity of the shingle sets decides.
+
+FAMILIES, SHINGLE, SIMILARITY = 4, 5, 0.8
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def families(text: bytes | None, n: int = FAMILIES) -> list[int]:
+    """n fingerprints over the text's distinct words, each by another mix of their hashes. A near copy by five-word
+    shingles changes few of its words, so these differ less than one over shingles would."""
+    h = np.unique(shingle_hashes(text, 1))
+    out = []
+    for i in range(n):
+        x = h * (_M1 + np.uint64(2 * i))
+        x ^= x >> np.uint64(29)
+        x *= _M2
+        out.append(majority(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Distinct shingles as sorted 32-bit hashes."""
+    return np.unique(shingle_hashes(text, size).astype(np.uint32))
+
+
+def _sketch(batches):
+    for x in batches:
+        texts = [b" ".join(t.translate(LOWER).split()) if t else b"" for t in text_column(x)]
+        yield pa.RecordBatch.from_arrays(
+            [x.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([families(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"]
+        )
+
+
+def nearest(reps: DataFrame, radius: int = 3) -> DataFrame:
+    """reps (family, fp, rep), fp distinct in a family -> (family, a, d, b): for every a of a key's rows, the nearest b of
+    lower id within the radius, least id on ties. Several keys may give rows for one a."""
+
+    def run(batches):
+        parts = [tuple(c.to_numpy() for c in x.columns) for x in batches]
+        if not parts:
+            return
+        key, family, fp, rep = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+        keep = times[where] > 1
+        key, family, fp, rep = key[keep], family[keep], fp[keep].view(np.uint64), rep[keep]
+        if not len(key):
+            return
+        rank = np.argsort(np.argsort(rep, kind="stable"), kind="stable").astype(np.int64)
+        by_rank = np.empty(len(rep), np.int64)
+        by_rank[rank] = np.arange(len(rep))
+        best = np.full(len(rep), np.iinfo(np.int64).max)  # distance, then the partner's rank
+        for i, j in GrayIndex(key, fp).pairs(radius):
+            i, j = np.where(rep[i] > rep[j], i, j), np.where(rep[i] > rep[j], j, i)
+            np.minimum.at(best, i, np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40 | rank[j])
+        a = np.flatnonzero(best != np.iinfo(np.int64).max)
+        b = by_rank[best[a] & ((1 << 40) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(family[a]), pa.array(rep[a]), pa.array(best[a] >> 40), pa.array(rep[b])], names=["family", "a", "d", "b"])
+
+    keys = F.transform(_keys(), lambda k: k + F.shiftleft(F.col("family").cast("long"), 40))
+    return reps.select(F.explode(keys).alias("key"), "family", "fp", "rep").repartition("key").mapInArrow(run, "family int, a long, d long, b long")
+
+
+def copies(docs: DataFrame, radius: int = 3, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of all documents that aren't the least id of their group. docs: doc_id (not null), text.
+
+    Equal texts (case and blanks aside) are one. Of the others, each takes per family the nearest fingerprint of lower id
+    as a candidate; links whose shingle sets have a Jaccard similarity under `similarity` go.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = written(docs.mapInArrow(_sketch, "doc_id long, digest binary, fps array<long>"), "sketches")
+    first = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "texts")
+    same = sketch.join(first.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    prints = written(first.select("rep", F.posexplode("fps").alias("family", "fp")), "prints")
+    heads = written(prints.groupBy("family", "fp").agg(F.min("rep").alias("rep")), "heads")
+    equal = prints.join(heads.withColumnRenamed("rep", "head"), ["family", "fp"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    near = nearest(heads, radius).groupBy("family", "a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    edges = written(equal.union(near).distinct(), "candidates")
+    nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "doc_id")
+
+    def sets(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([shingle_set(t, size).tobytes() for t in text_column(x)], pa.binary())], names=["id", "shingles"])
+
+    has = written(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+
+    def verify(batches):
+        for x in batches:
+            good = []
+            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(mask), x.column(1).filter(mask)], schema=EDGE)
+
+    pairs = edges.join(has.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(has.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
+    held = written(pairs.select("a", "b", "p", "q").mapInArrow(verify, EDGE_SQL), "verified")
+    found = components(held)
+    # members of equal texts follow their first
+    deep = same.join(found, F.col("b") == F.col("node"), "left").select(F.col("a").alias("doc_id"), F.coalesce("component", "b").alias("component_id"))
+    return written(deep.union(found.filter("node <> component")), "copies")
+
+
+def distinct_documents(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of docs, all columns, less near copies: of each group the one of least doc_id stays, in one row. Rows with a
+    null id stay as they are."""
+    ids = docs.filter("doc_id is not null")
+    gone = copies(ids, **kw).select("doc_id").distinct()
+    if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        ids = ids.dropDuplicates(["doc_id"])
+    return ids.join(gone, "doc_id", "left_anti").select(*docs.columns).union(docs.filter("doc_id is null"))

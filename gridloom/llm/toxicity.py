@@ -80,14 +80,18 @@ def grades(toxic: np.ndarray, markers: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """rows: (text, toxic). The order of rows doesn't matter."""
     rng = np.random.default_rng(seed)
-    split = [(words(t), y) for t, y in sorted(rows)]
-    toxic = np.array([bool(y) for _, y in split])
+    rows = sorted(rows)
+    toxic = np.array([bool(y) for _, y in rows])
     if toxic.all() or not toxic.any():
-        return Model({}, np.full(3, -60.0 if len(split) and toxic.all() else 60.0))
-    has = [np.unique(np.array([f for x in set(s) for f in features(x)], np.int64)) for s, _ in split]
-    n, n1 = len(split), int(toxic.sum())
-    one = np.bincount(np.concatenate([h for h, t in zip(has, toxic.tolist(), strict=True) if t]), minlength=FEATURES)
-    both = np.bincount(np.concatenate(has), minlength=FEATURES)
+        return Model({}, np.full(3, -60.0 if len(rows) and toxic.all() else 60.0))
+    # a text's words are let go once its places are known, so the driver holds texts and 32-bit places only
+    has = [np.unique(np.array([f for x in set(words(t)) for f in features(x)], np.int32)) for t, _ in rows]
+    n, n1 = len(rows), int(toxic.sum())
+    one, both = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for h, t in zip(has, toxic.tolist(), strict=True):
+        both[h] += 1
+        if t:
+            one[h] += 1
     share = both / n
     z = (one / n1 - (both - one) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
     kept = np.flatnonzero((both >= LEAST_DOCS) & (np.abs(z) >= SIGMAS))

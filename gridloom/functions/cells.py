@@ -93,3 +93,11 @@ def classify(c: Column) -> Column:
 
 def nan_like_to_null(c: Column, custom: list[str] | None = None) -> Column:
     return F.when((strip(c) == "") | c.isin(K.NAN_LIKE + list(custom or [])), None).otherwise(c)
+
+
+def code(c: Column) -> Column:
+    """A cell's class in one small integer: 0 empty, 1 numeric, 2 date, 3 text; 4 added where its normal form is a number,
+    8 where that isn't blank, 16 where it reads as a label."""
+    normal = normalise(c)
+    kind = F.when(is_empty(c), 0).when(is_numeric(c), 1).when(is_date_like(strip(c)), 2).otherwise(3)
+    return (kind + F.when(is_numeric(normal), 4).otherwise(0) + F.when(normal != "", 8).otherwise(0) + F.when(is_label(c), 16).otherwise(0)).cast("tinyint")

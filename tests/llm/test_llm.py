@@ -1,8 +1,6 @@
 import zlib
-from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from gridloom.llm import common, cosine, langid, mixing, mixlm, simhash, toolcalls, toxicity, urlfilter, warc, winnow
@@ -176,28 +174,26 @@ def test_tool_calls(spark):
 
 def test_mixing_lm_is_a_distribution():
     texts = [mixlm.words(t) for t in (b"ab abc ab", b"abc ab", b"ba ab abc")]
-    flat, of = mixlm.laid([b"\0" * mixlm.BACK + b" ".join(t) + b"\n" for t in texts])  # whole texts
-    real = of >= 0
-    at, n = np.unique(mixlm.places(flat, real), return_counts=True)
+    at, n = np.unique(mixlm.places(*mixlm.stream(texts)), return_counts=True)
     mixer = mixlm.Mixer.new(mixlm.bit_tree(at, n))
-    mixer.learn(mixlm.contexts(flat)[:, real], flat[real])
-    slots = np.repeat(mixlm.contexts(flat)[:, [12]], 256, axis=1)
+    flat, doc = mixlm.stream(texts)
+    real = doc >= 0
+    mixer.learn(mixlm.contexts(flat)[0][:, real], flat[real])
+    slots = np.repeat(mixlm.contexts(flat)[0][:, [12]], 256, axis=1)
     assert abs((10 ** mixer.log10(slots, np.arange(256, dtype=np.uint8))).sum() - 1) < 1e-3
+    # slots and keys depend on the last six bytes and the word so far, wherever these are
+    slots, key = mixlm.contexts(flat)
+    seen = {}
+    for i in np.flatnonzero(real):
+        word = flat[:i].tobytes().translate(bytes.maketrans(b"\0\n", b"  ")).rsplit(b" ", 1)[-1]
+        what = (flat[i - 6 : i].tobytes(), word, int(flat[i]))
+        assert seen.setdefault(what, (slots[:, i].tolist(), key[i])) == (slots[:, i].tolist(), key[i])
+    assert len({k for _, k in seen.values()}) == len(seen)
     scorer = mixlm.Scorer(mixer)
     first = scorer.log10(texts)
+    whole = np.bincount(doc[real], mixer.log10(slots[:, real], flat[real]))
+    assert np.allclose(first, whole, atol=1e-4)
     assert np.allclose(first, scorer.log10(texts)) and np.allclose(first[1:], mixlm.Scorer(mixer).log10(texts[1:]))
-    whole = np.bincount(of[real], mixer.log10(mixlm.contexts(flat)[:, real], flat[real]))
-    assert np.allclose(first, whole)
-    # counting pieces counts the bytes of whole texts; words that are long or repeated, and empty texts, too
-    more = [*texts, [], [b"x" * 300, b"ab"], [b"a"] * 50]
-    rows = pa.RecordBatch.from_pydict({"text": [b" ".join(t).decode() for t in more] + [None], "counted": [True] * len(more) + [False]})
-    got, tokens = Counter(), Counter()
-    for b in mixlm._gather([rows]):
-        for place, token, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            (got if token is None else tokens)[place if token is None else token] += times
-    flat, of = mixlm.laid([b"\0" * mixlm.BACK + b" ".join(t) + b"\n" for t in more])
-    assert got == Counter(mixlm.places(flat, of >= 0).ravel().tolist())
-    assert tokens == Counter(w for t in more for w in t) + Counter({b"": len(more) + 1})
 
 
 def test_crc_bucket(spark):

@@ -14,6 +14,8 @@ with a null component. Repeated ids are one document for linking. Columns other
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -171,7 +173,8 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: SimHash finds candidates, the Jaccard similarity of the shingle sets decides.
+# Near copies by shingle similarity: SimHash and then the rarest shingles find candidates, the Jaccard similarity of the
+# shingle sets decides.
 
 FAMILIES, SHINGLE, SIMILARITY = 4, 5, 0.8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -232,29 +235,178 @@ def nearest(reps: DataFrame, radius: int = 3) -> DataFrame:
     return reps.select(F.explode(keys).alias("key"), "family", "fp", "rep").repartition("key").mapInArrow(run, "family int, a long, d long, b long")
 
 
-def copies(docs: DataFrame, radius: int = 3, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of all documents that aren't the least id of their group. docs: doc_id (not null), text.
+#: Shingles held by a task before it gives out those that it met often; at most so many frequent ones go to all workers.
+FLUSH, FREQUENT, OFTEN = 1 << 22, 1 << 18, 3
+#: Rows of one shingle that are compared in one cell; pairs worked on at a time; ids that may go to all workers.
+CELL, PAIRS, SMALL = 1 << 11, 1 << 20, 1 << 16
 
-    Equal texts (case and blanks aside) are one. Of the others, each takes per family the nearest fingerprint of lower id
-    as a candidate; links whose shingle sets have a Jaccard similarity under `similarity` go.
-    """
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketch, "doc_id long, digest binary, fps array<long>"), "sketches")
-    first = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "texts")
-    same = sketch.join(first.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    prints = written(first.select("rep", F.posexplode("fps").alias("family", "fp")), "prints")
-    heads = written(prints.groupBy("family", "fp").agg(F.min("rep").alias("rep")), "heads")
-    equal = prints.join(heads.withColumnRenamed("rep", "head"), ["family", "fp"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    near = nearest(heads, radius).groupBy("family", "a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    edges = written(equal.union(near).distinct(), "candidates")
+
+def word_runs(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct runs of `size` words (the whole where there are fewer), as sorted 64-bit hashes mixed from the words'."""
+    words = text.translate(LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    size = min(size, len(words))
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        out ^= h[i : i + len(out)]
+        out *= _M1
+        out ^= out >> np.uint64(29)
+        out *= _M2
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Of sets of n, how many members in a common order must be looked at to meet every set of the similarity."""
+    return n - max(1, math.ceil(similarity * n - 1e-9)) + 1
+
+
+def _distinct_texts(batches):
+    """(doc_id, text) of a task's rows, texts equal but for case and blanks once."""
+    seen = set()
+    for x in batches:
+        for d, t in zip(x.column(0).to_pylist(), text_column(x), strict=True):
+            digest = xxhash.xxh3_128_digest(b" ".join(t.translate(LOWER).split()) if t else b"")
+            if digest not in seen:
+                seen.add(digest)
+                yield d, t
+
+
+def frequent(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that tasks met in many texts, sorted, and how many. They only order the shingles, rare ones first: any
+    order finds all pairs, so missing ones cost time, not links."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["key", "n"])
+
+        for _, t in _distinct_texts(batches):
+            held.append(word_runs(t, size))
+            n += len(held[-1])
+            if n > FLUSH:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    met = written(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent")
+    least, total = 1 << 62, 0
+    for level, m in sorted(((r[0], r[1]) for r in met.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()), reverse=True):
+        if (total := total + m) > FREQUENT:
+            break
+        least = 1 << level
+    rows = met.filter(F.col("n") >= least).toArrow()  # FREQUENT rows at most
+    key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def shared_prefixes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(key, id, n, at): of every text the rarest shingles, as many as must be met by any text of the similarity, with the
+    number of its shingles and the place in its order; only shingles that several rows have."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+
+    def prefix(batches):
+        keys, times = sent.value
+        held, rows = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["key", "id", "place"])
+
+        for d, t in _distinct_texts(batches):
+            h = word_runs(t, size)
+            if not len(h):
+                continue
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                h = h[np.lexsort((h, np.where(keys[at] == h, times[at], 0)))]
+            k = prefix_size(len(h), similarity)
+            held.append((h[:k].view(np.int64), np.full(k, d, np.int64), np.int64(len(h)) << 32 | np.arange(k)))
+            rows += k
+            if rows > 1 << 16:
+                yield out()
+                held, rows = [], 0
+        if held:
+            yield out()
+
+    def several(batches):
+        parts = [tuple(c.to_numpy() for c in x.columns) for x in batches]
+        if not parts:
+            return
+        key, node, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        keep = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        for i in range(0, len(keep), 1 << 16):
+            k = keep[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(node[k]), pa.array(place[k] >> 32), pa.array(place[k] & 0xFFFFFFFF)], names=["key", "id", "n", "at"])
+
+    rows = docs.mapInArrow(prefix, "key long, id long, place long").repartition("key")
+    return written(rows.mapInArrow(several, "key long, id long, n long, at long"), "prefixes")
+
+
+def may_reach(n, m, at, to, least, similarity: float):
+    """Whether sets of n and m, whose first common member has these places, may have the similarity; least: minimum."""
+    return least(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def across(shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """shared (key, id, n, at), found (node, component) -> (a, b): every pair that shares a shingle, may have the similarity
+    and isn't in one component. Shingles of many rows are dealt in cells of pairs of groups."""
+    rows = shared.join(found, shared.id == found.node, "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("comp"))
+    rows = written(rows, "placed")
+    open_keys = rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("rows")).filter("p <> q").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("parts"))
+    dealt = rows.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("x"), F.greatest("part", o).alias("y")))
+    dealt = dealt.withColumn("cell", F.explode(cells)).select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "id", "n", "at", "comp")
+
+    def run(batches):
+        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if not parts:
+            return
+        key, x, y, part, node, n, at, comp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((n, y, x, key))
+        key, x, y, part, node, n, at, comp = (c[order] for c in (key, x, y, part, node, n, at, comp))
+        ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, len(key))
+        end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        # rows of a cell go by size, so a row's partners are those after it up to the size that the similarity allows
+        span = end - np.arange(len(key)) - 1
+        to = np.cumsum(span)
+        i = 0
+        while i < len(key):
+            j = max(i + 1, int(np.searchsorted(to, (to[i - 1] if i else 0) + PAIRS, "right")))
+            c = span[i:j]
+            p = np.repeat(np.arange(i, j), c)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c)
+            ok = (comp[p] != comp[q]) & (n[p] >= similarity * n[q] - 1e-6) & ((x[p] == y[p]) | (part[p] != part[q]))
+            p, q = p[ok], q[ok]
+            ok = may_reach(n[p], n[q], at[p], at[q], np.minimum, similarity)
+            p, q = p[ok], q[ok]
+            ab = np.unique(np.stack([np.maximum(node[p], node[q]), np.minimum(node[p], node[q])], 1), axis=0)
+            if len(ab):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], schema=EDGE)
+            i = j
+
+    return dealt.repartition("key", "x", "y").mapInArrow(run, EDGE_SQL).filter("a <> b").distinct()
+
+
+def verified(docs: DataFrame, edges: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """The edges (a, b) whose shingle sets have the Jaccard similarity."""
     nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    nodes = written(nodes, "nodes")
 
     def sets(batches):
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([shingle_set(t, size).tobytes() for t in text_column(x)], pa.binary())], names=["id", "shingles"])
 
-    has = written(docs.join(nodes, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    few = nodes.count() <= SMALL
+    has = written(docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
 
     def verify(batches):
         for x in batches:
@@ -267,11 +419,36 @@ def copies(docs: DataFrame, radius: int = 3, similarity: float = SIMILARITY, siz
             yield pa.RecordBatch.from_arrays([x.column(0).filter(mask), x.column(1).filter(mask)], schema=EDGE)
 
     pairs = edges.join(has.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(has.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
-    held = written(pairs.select("a", "b", "p", "q").mapInArrow(verify, EDGE_SQL), "verified")
-    found = components(held)
-    # members of equal texts follow their first
-    deep = same.join(found, F.col("b") == F.col("node"), "left").select(F.col("a").alias("doc_id"), F.coalesce("component", "b").alias("component_id"))
-    return written(deep.union(found.filter("node <> component")), "copies")
+    return written(pairs.select("a", "b", "p", "q").mapInArrow(verify, EDGE_SQL), "verified")
+
+
+def copies(docs: DataFrame, radius: int = 3, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of all documents that aren't the least id of their group. docs: doc_id (not null), text.
+
+    Equal texts (case and blanks aside) are one. Of the others, each takes per family the nearest fingerprint of lower id
+    as a candidate, and of each of its rarest shingles the least id; links whose shingle sets have a Jaccard similarity
+    under `similarity` go. Then all pairs that share a rare shingle and aren't in one group yet are compared, so no link
+    between groups is lost.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = written(docs.mapInArrow(_sketch, "doc_id long, digest binary, fps array<long>"), "sketches")
+    first = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "texts")
+    same = sketch.join(first.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = written(same, "same")
+    prints = written(first.select("rep", F.posexplode("fps").alias("family", "fp")), "prints")
+    heads = written(prints.groupBy("family", "fp").agg(F.min("rep").alias("rep")), "heads")
+    equal = prints.join(heads.withColumnRenamed("rep", "head"), ["family", "fp"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    near = nearest(heads, radius).groupBy("family", "a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    shared = shared_prefixes(docs, similarity, size)
+    least = shared.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("h"))
+    star = shared.join(least, "key").filter("id <> h.id").filter(may_reach(F.col("n"), F.col("h.n"), F.col("at"), F.col("h.at"), F.least, similarity))
+    edges = written(equal.union(near).union(star.select("id", "h.id")).distinct(), "candidates")
+    held = verified(docs, edges, similarity, size)
+    found = written(components(held.union(same)), "found")
+    more = written(across(shared, found, similarity), "across").join(edges, ["a", "b"], "left_anti")
+    found = components(held.union(same).union(verified(docs, written(more, "open"), similarity, size)))
+    return written(found.filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "copies")
 
 
 def distinct_documents(docs: DataFrame, **kw) -> DataFrame:

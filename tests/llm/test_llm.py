@@ -70,6 +70,31 @@ def test_near_copies_and_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def kept_by_brute_force(texts):
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    near = [[len(p & q) >= 0.8 * len(p | q) for q in sets] for p in sets]
+    return sorted(set(brute_components(near, range(len(texts)))))
+
+
+def test_near_copies_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 4, raising=False)
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(40):
+        base = [f"g{g}x{i}" for i in rng.integers(0, 60, 40)] + [f"common{i}" for i in range(20)]
+        for _ in range(5):  # words replaced at one place, so that similarities lie on both sides of 0.8
+            at, n = int(rng.integers(0, 30)), int(rng.integers(1, 9))
+            texts.append(" ".join([*base[:at], *(f"n{rng.integers(0, 10**9)}" for _ in range(n)), *base[at + n :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.distinct_documents(docs).collect())
+    assert kept == kept_by_brute_force(texts) and 40 < len(kept) < 200
+    # the pairs themselves, without candidates from SimHash
+    none = spark.createDataFrame([], "node long, component long")
+    got = {(r.a, r.b) for r in simhash.across(simhash.shared_prefixes(docs), none).collect()}
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    assert got >= {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
 def test_winnowing_against_brute_force(spark):
     rng = np.random.default_rng(1)
     voc = [f"t{i}" for i in range(30)]

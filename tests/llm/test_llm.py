@@ -95,6 +95,17 @@ def test_near_copies_lose_no_link(spark, monkeypatch):
     assert got >= {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
+def test_near_copies_beyond_the_nearest_fingerprint(spark):
+    lines = [[f"l{i}w{k}" for k in range(8)] for i in range(25)]
+    order = np.random.default_rng(2).permutation(200)
+    words = [w for x in lines for w in x]
+    # 1 has the words of 2 and 3 in another order: equal fingerprints, but a copy of neither; 3 repeats some of 2's words
+    texts = [(1, " ".join(words[i] for i in order)), (2, " ".join(words)), (3, " ".join(words + words[:8]))]
+    assert len({tuple(simhash.families(t.encode())) for _, t in texts}) == 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == [1, 2]
+
+
 def test_winnowing_against_brute_force(spark):
     rng = np.random.default_rng(1)
     voc = [f"t{i}" for i in range(30)]

@@ -25,6 +25,8 @@ from gridloom.llm.common import in_bucket, join_bytes, prepare, text_column, wri
 
 WINDOW, HIDDEN, BATCH, STEPS, RATE, SEED = 64, 8, 256, 220, 0.02, 11
 QUOTA, WINDOWS = 400, 24_000
+#: Texts made up in no language, and the share of labelled texts that the threshold of guarded() lets through at least.
+STRANGERS, STAY = 400, 0.999
 #: Windows labelled at a time.
 ROWS = 4096
 UND = "und"
@@ -97,12 +99,9 @@ class Model:
         h = np.concatenate([self.ahead.states(x), self.behind.states(x[::-1])[::-1]], axis=2)
         return softmax(h @ self.w + self.b)
 
-    def judge(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        """Language and its pooled probability of each text."""
-        told = [t if t and has_letter(t) else b"" for t in texts]
-        if not self.langs:
-            return [UND] * len(texts), [0.0] * len(texts)
-        sums = np.zeros((len(texts), len(self.langs)))
+    def pooled(self, told: list[bytes]) -> np.ndarray:
+        """(texts, classes): the mean over its bytes of each text's probabilities."""
+        sums = np.zeros((len(told), len(self.b)))
         flat, starts = join_bytes(told)
         count = -(-np.diff(starts) // WINDOW)  # windows of each text
         doc = np.repeat(np.arange(len(told)), count)
@@ -114,12 +113,25 @@ class Model:
             p = self.positions(np.ascontiguousarray(x))
             p *= there.T[:, :, None]
             np.add.at(sums, d, p.sum(0))
-        best = sums.argmax(1)
-        size = np.maximum(np.diff(starts), 1)
-        score = np.clip(sums[np.arange(len(texts)), best] / size, 0, 1)
+        return np.clip(sums / np.maximum(np.diff(starts), 1)[:, None], 0, 1)
+
+    def judge(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+        """Language and its pooled probability of each text."""
+        told = [t if t and has_letter(t) else b"" for t in texts]
+        if not self.langs:
+            return [UND] * len(texts), [0.0] * len(texts)
+        shares = self.pooled(told)
+        best = shares[:, : len(self.langs)].argmax(1)
+        score = shares[np.arange(len(texts)), best]
         return [self.langs[b] if t else UND for b, t in zip(best, told, strict=True)], [float(s) if t else 0.0 for s, t in zip(score, told, strict=True)]
 
 
+    def learned(self, texts: list[bytes | None]) -> np.ndarray:
+        """The pooled probability of all learned languages together; 0 for what judge() leaves undetermined."""
+        told = [t if t and has_letter(t) else b"" for t in texts]
+        return self.pooled(told)[:, : len(self.langs)].sum(1) if self.langs else np.zeros(len(texts))
+
+
 def has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text.decode("utf-8", "replace")))
 
@@ -131,20 +143,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Model:
-    """rows: (text, language). The order of rows doesn't matter."""
+def strangers(n: int, seed: int = SEED) -> list[bytes]:
+    """n texts in no language: words of letters drawn evenly from a few neighbours in any script, or from a to z."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        if len(out) % 4:
+            start, count = int(rng.integers(0x370, 0xD700)), int(rng.integers(20, 400))
+            letters = [chr(c) for c in range(start, start + count) if c < 0xD800 and has_letter(chr(c).encode())]
+        else:
+            letters = list("abcdefghijklmnopqrstuvwxyz")
+        if letters:
+            out.append(" ".join("".join(rng.choice(letters, k)) for k in rng.integers(1, 11, 40)).encode())
+    return out
+
+
+def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED, others: list[bytes] | None = None) -> Model:
+    """rows: (text, language). The order of rows doesn't matter. others: texts of a class more, which takes probability
+    from the languages and is never told."""
     rng = np.random.default_rng(seed)
     rows = sorted((t, g) for t, g in rows if t and has_letter(t))
     langs = sorted({g for _, g in rows})
-    size = 2 * hidden
-    model = Model(langs, Gru.new(hidden, rng), Gru.new(hidden, rng), np.zeros((size, len(langs)), np.float32), np.zeros(len(langs), np.float32))
-    if len(langs) < 2:
+    size, by = 2 * hidden, [[t for t, x in rows if x == g] for g in langs] + ([others] if others and langs else [])
+    model = Model(langs, Gru.new(hidden, rng), Gru.new(hidden, rng), np.zeros((size, len(by)), np.float32), np.zeros(len(by), np.float32))
+    if len(by) < 2:
         return model
-    by = {g: [t for t, x in rows if x == g] for g in langs}
     xs, ys = [], []
-    for k, g in enumerate(langs):  # equally many windows of each language, at places drawn at random
-        for i in rng.integers(0, len(by[g]), WINDOWS // len(langs)):
-            t = by[g][i]
+    for k, texts in enumerate(by):  # equally many windows of each language, at places drawn at random
+        for i in rng.integers(0, len(texts), WINDOWS // len(by)):
+            t = texts[i]
             at = int(rng.integers(0, max(1, len(t) - WINDOW // 2)))
             part = np.frombuffer(t[at : at + WINDOW], np.uint8)
             xs.append(np.concatenate([part, np.full(WINDOW - len(part), 256)]))
@@ -209,13 +235,22 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(predictor(model), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
+def guarded(docs: DataFrame, quota: int = QUOTA) -> tuple[Model, float]:
+    """A model that also knows texts in no language, and a threshold: a tenth below the score that STAY of the labelled
+    texts reach."""
+    rows = sample(docs, quota)
+    model = train(rows, others=strangers(STRANGERS))
+    told = [t for t, _ in rows if has_letter(t)]
+    return model, 0.9 * float(np.quantile(model.learned(told), 1 - STAY, method="lower")) if told else 0.0
+
+
 def accepted(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, in a learned language with a score of `least` or more."""
+    """The rows of docs, all columns, whose score for the learned languages together is above 0 and `least` or more."""
 
     def run(batches):
         for x in batches:
-            lang, score = model.judge(text_column(x))
-            yield x.filter(pa.array([g != UND and s >= least for g, s in zip(lang, score, strict=True)]))
+            score = model.learned(text_column(x))
+            yield x.filter(pa.array((score > 0) & (score >= least)))
 
     prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

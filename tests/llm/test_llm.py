@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gridloom.llm import common, cosine, langid, mixing, mixlm, simhash, toolcalls, toxicity, urlfilter, warc, winnow
 
 
@@ -172,6 +173,16 @@ def test_language(spark):
     assert langid.train([]).judge([b"abc"]) == (["und"], [0.0])
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = {"en": "the house and every dog that runs over some hill with water", "de": "das haus und jeder hund der über einen berg läuft mit wasser"}
+    rows = [(i, " ".join(rng.choice(vocabulary[g].split(), 30)), g) for i in range(60) for g in vocabulary]
+    odd = ["Η γρήγορη αλεπού πηδά πάνω από το σκυλί και τρέχει στο δάσος " * 3, "तेज भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है " * 4, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60))]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate([*odd, None, "123"])], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()]
+    assert max(kept) < 1000 and len(kept) >= len(rows) - 1
+
+
 def test_toxicity():
     rng = np.random.default_rng(5)
     clean = [(" ".join(f"w{i}" for i in rng.integers(0, 80, 40)), 0) for _ in range(300)]

@@ -243,6 +243,16 @@ def test_mixing_lm_is_a_distribution():
     assert np.allclose(first, scorer.log10(texts)) and np.allclose(first[1:], mixlm.Scorer(mixer).log10(texts[1:]))
 
 
+def test_mixing_lm_tunes_on_the_whole_fold(spark, monkeypatch):
+    monkeypatch.setattr(mixlm, "PART", 1 << 12, raising=False)
+    texts = [f"word{i} and some more words of text {i % 7}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([], mixlm.COUNTED)
+    mixer = mixlm.fitted(docs, none)
+    assert mixer.seen.sum() == mixlm.EPOCHS * 8 * sum(len(t) + 1 for t in texts)
+    assert mixer.tree.any() and np.isfinite(mixer.weights).all()
+
+
 def test_crc_bucket(spark):
     ids = spark.range(50).withColumnRenamed("id", "doc_id")
     got = {r[0] for r in ids.filter(common.in_bucket("doc_id", 7, 2)).collect()}

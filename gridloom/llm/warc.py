@@ -107,24 +107,34 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def parse(data: bytes):
-    """The records of an archive, plain or gzipped (any number of members): (fields lower-cased, block). Stops at what is no record."""
+    """The records of an archive, plain or gzipped (any number of members): (fields lower-cased, block). What is
+    no record gives no fields and no block, and reading goes on at the next line that begins one."""
     if data[:2] == b"\x1f\x8b":
         out = []
         while data[:2] == b"\x1f\x8b":
             member = zlib.decompressobj(31)
-            out.append(member.decompress(data) + member.flush())
+            try:
+                out.append(member.decompress(data) + member.flush())
+            except zlib.error:
+                out.append(b"damaged member")
+                data = data[data.find(b"\x1f\x8b\x08", 2) :] if data.find(b"\x1f\x8b\x08", 2) > 0 else b""
+                continue
             data = member.unused_data
-        data = b"".join(out)
+        data = b"".join([*out, data.strip(b"\0")])
     at = 0
-    while data.startswith(b"WARC/", at):
+    while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+        if end < 0 or not data.startswith(b"WARC/", at):
+            yield {}, None
+            at = data.find(b"\nWARC/", at) + 1
+            if not at:
+                return
+            continue
         fields = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-        size = int(fields.get("content-length", 0))
+        size = _number(fields.get("content-length")) or 0
         block = data[end + 4 : end + 4 + size]
         at = end + 4 + size
         yield fields, block if len(block) == size else None
@@ -152,7 +162,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     names = [c.split()[0] for c in RECORD.split(", ")]
     types = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in RECORD.split(", ")]
     prepare(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import zlib
 
 import numpy as np
@@ -47,6 +48,15 @@ def test_warc_broken_segments(spark, tmp_path):
     assert warc.dechunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc" and warc.dechunked(b"5\r\nab") is None
 
 
+def test_warc_plain_and_damaged(spark, tmp_path):
+    one, two = (warc.page_records(i, 0, "u", b"text", "d", None) + b"\r\n" for i in (1, 2))
+    (tmp_path / "a.warc").write_bytes(one + b"damaged\r\n" + two)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + b"tail")
+    whole = len(list(warc.parse(one)))
+    got = [r.complete for r in warc.read(spark, f"file://{tmp_path}").collect()]
+    assert got.count(True) == 3 * whole and got.count(False) == 2
+
+
 def test_simhash_links_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)

@@ -239,7 +239,7 @@ def test_mixing_lm_is_a_distribution():
     slots = np.repeat(mixlm.contexts(flat)[0][:, [12]], 256, axis=1)
     assert abs((10 ** mixer.log10(slots, np.arange(256, dtype=np.uint8))).sum() - 1) < 1e-3
     # slots and keys depend on the last six bytes and the word so far, wherever these are
-    slots, key = mixlm.contexts(flat)
+    slots, key, _ = mixlm.contexts(flat)
     seen = {}
     for i in np.flatnonzero(real):
         word = flat[:i].tobytes().translate(bytes.maketrans(b"\0\n", b"  ")).rsplit(b" ", 1)[-1]
@@ -267,3 +267,69 @@ def test_crc_bucket(spark):
     ids = spark.range(50).withColumnRenamed("id", "doc_id")
     got = {r[0] for r in ids.filter(common.in_bucket("doc_id", 7, 2)).collect()}
     assert got == {i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2}
+
+
+def brute_expected(texts, fold, anchor):
+    """By plain dictionaries: of every context of two words its most frequent next word and count, and the gates' rates."""
+    with_fold, without, held = {}, {}, {}
+    for i, t in enumerate(texts):
+        flat, doc = mixlm.stream([mixlm.words(t.encode())])
+        _, c, w, _, _ = mixlm.anchors(flat, doc, mixlm.contexts(flat)[2])
+        for key in zip(c.tolist(), w.tolist(), strict=True):
+            for d in [with_fold] + ([held] if fold[i] else [without]):
+                d.setdefault(key[0], {})
+                d[key[0]][key[1]] = d[key[0]].get(key[1], 0) + 1
+    top = lambda x: max((n, np.uint64(w).tobytes()) for w, n in x.items())
+    gate = lambda n, total: min(7, int(np.log2(n))) * 5 + int(4 * n / total)
+    right, asked = np.full(mixlm.GATES, 2 * mixlm.GUESS), np.full(mixlm.GATES, 2.0)
+    for c, met in held.items():
+        if c in without:
+            n, w = top(without[c])
+            g = gate(n, sum(without[c].values()))
+            right[g] += met.get(int(np.frombuffer(w, "<u8")[0]), 0)
+            asked[g] += sum(met.values())
+    sure = np.clip(right / asked, 1e-4, 0.999)
+    return {c: (int(np.frombuffer(top(x)[1], "<u8")[0]), sure[gate(top(x)[0], sum(x.values()))]) for c, x in with_fold.items()}
+
+
+@pytest.mark.parametrize("head", [1 << 16, 3])
+def test_mixing_lm_through_spark_against_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(mixlm, "HEAD", head, raising=False)
+    monkeypatch.setattr(mixlm, "FLUSH", 50, raising=False)
+    rng = np.random.default_rng(6)
+    voc = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(voc, int(rng.integers(0, 60)))) for _ in range(120)] + ["É ÀB Cd\tx y", "", "solo"]
+    texts += texts[:20]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(len(texts), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in mixlm.scores(docs, mixlm.F.col("doc_id") % 5 != 2, mixlm.F.col("doc_id") % 4 == 1).collect()}
+    words = {i: mixlm.words(t.encode() if t else None) for i, t in rows}
+    learn = [i for i, _ in rows if i % 5 != 2]
+    count = {}
+    for i in learn:
+        for w in [*words[i], b""]:
+            count[w] = count.get(w, 0) + 1
+    total, below = sum(count.values()), sum(count.values()) + len(count) + 1
+    for i, _ in rows:
+        tokens = [*words[i], b""]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in count for w in tokens), total)
+        assert abs(got[i].base_score - sum(np.log10((count.get(w, 0) + 1) / below) for w in tokens)) < 1e-9
+    # the score: bits by the fitted mixer, and what the expected words add
+    counts = mixlm.counted(docs.filter("doc_id % 5 <> 2").withColumn("counted", mixlm.F.expr("doc_id % 4 <> 1")))
+    mixer = mixlm.fitted(docs.filter("doc_id % 5 <> 2 and doc_id % 4 = 1"), counts)
+    known = brute_expected([texts[i] if i < len(texts) else "" for i in learn], [i % 4 == 1 for i in learn], mixlm.ANCHOR)
+    met = 0
+    for i, _ in rows:
+        flat, doc = mixlm.stream([words[i]])
+        real = np.flatnonzero(doc >= 0)
+        slots, _, word = mixlm.contexts(flat)
+        each = np.zeros(len(flat))
+        each[real] = mixer.log10(slots[:, real], flat[real])
+        want = each.sum()
+        for _, c, w, a, b in zip(*(x.tolist() for x in mixlm.anchors(flat, doc, word)), strict=True):
+            if c in known:
+                met += 1
+                p, g = 10 ** each[a:b].sum(), known[c][1]
+                want += np.log10(g * (known[c][0] == w) + (1 - g) * p) - np.log10(p)
+        assert abs(got[i].score - want) < 1e-3 * max(1, abs(want)), i
+    assert met > 50 and got[5].score <= 0

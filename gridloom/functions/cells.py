@@ -28,7 +28,7 @@ def parses_as_float(c: Column) -> Column:
 
 def is_numeric(c: Column) -> Column:
     """A number once one leading quote or currency sign, trailing units, brackets and commas are off."""
-    v = F.regexp_replace(strip(c), r"^['\"$₩]|[원만USD%\s]+$", "")
+    v = F.regexp_replace(strip(c), K.NUMBER_DRESS, "")
     v = F.regexp_replace(v, r"^[() ]+|[() ]+$", "")
     return (v != "") & parses_as_float(F.replace(v, F.lit(","), F.lit("")))
 
@@ -76,7 +76,7 @@ def hints_id(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """M/D/YYYY to ISO, currency to digits, European decimals to a point; anything else is cleaned only."""
     v = clean_cell(c)
-    day, money, euro = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$", r"^[\$₩€£]\s*([\d,]+\.?\d*)$", r"^(\d{1,3}(?:\.\d{3})*),(\d+)$"
+    day, money, euro = K.DAY, K.MONEY, K.EURO
     part = lambda p, i: F.regexp_extract(v, p, i)
     return (
         F.when(v.rlike(day), F.concat_ws("-", part(day, 3), F.lpad(part(day, 1), 2, "0"), F.lpad(part(day, 2), 2, "0")))
@@ -95,9 +95,26 @@ def nan_like_to_null(c: Column, custom: list[str] | None = None) -> Column:
     return F.when((strip(c) == "") | c.isin(K.NAN_LIKE + list(custom or [])), None).otherwise(c)
 
 
-def code(c: Column) -> Column:
-    """A cell's class in one small integer: 0 empty, 1 numeric, 2 date, 3 text; 4 added where its normal form is a number,
-    8 where that isn't blank, 16 where it reads as a label."""
-    normal = normalise(c)
-    kind = F.when(is_empty(c), 0).when(is_numeric(c), 1).when(is_date_like(strip(c)), 2).otherwise(3)
-    return (kind + F.when(is_numeric(normal), 4).otherwise(0) + F.when(normal != "", 8).otherwise(0) + F.when(is_label(c), 16).otherwise(0)).cast("tinyint")
+def numeric_or_nan_like(c: Column) -> Column:
+    """Null, a string that reads as null, or a number."""
+    return c.isNull() | strip(c).isin(K.NAN_LIKE) | F.coalesce(parses_as_float(c), F.lit(False))
+
+
+def sanitised(c: Column) -> Column:
+    """The cell less NULs and byte order marks, quoted where a spreadsheet would run it as a formula."""
+    v = F.regexp_replace(c, "[\\x00\\uFEFF]", "")
+    return F.when(v.rlike(r"^[=+\-@\t\r\n]"), F.concat(F.lit("'"), v)).otherwise(v)
+
+
+def runs_as_formula(c: Column) -> Column:
+    """Whether a spreadsheet would run the cell: it begins with = + - @, and isn't a signed number."""
+    v = strip(c)
+    signed = v.rlike(r"^[+-]") & F.coalesce(parses_as_float(F.replace(F.substring(v, 2, 1 << 30), F.lit(","), F.lit(""))), F.lit(False)) & (F.length(v) > 1)
+    return v.rlike(r"^[=+\-@]") & ~signed
+
+
+def entropy(counts: Column) -> Column:
+    """Shannon entropy in bits of an array of counts."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
+    share = lambda n: n / total
+    return F.aggregate(F.filter(counts, lambda n: n > 0), F.lit(0.0), lambda a, n: a - share(n) * F.log2(share(n)))

@@ -24,4 +24,6 @@ PERIOD_TOKEN = r"^(wk|week|w|day|d|t|period|p)\s*_?\d{1,3}$"
 ID_HINT = r"\bid\b|\bno\.?\b|\bindex\b|\bcode\b|\bkey\b|\bseq\b|id$|번호|코드|일련|연도|년도"
 SINGLE_DATE = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}$|^\d{{1,2}}[/.]\d{{1,2}}[/.]\d{{2,4}}$|^({MONTHS})\.?\s+\d{{1,2}},?\s+\d{{4}}$|^\d{{1,2}}\s+({MONTHS})\.?,?\s+\d{{4}}$"
 FLOAT = r"^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
+NUMBER_DRESS = r"^['\"$₩]|[원만USD%\s]+$"
+DAY, MONEY, EURO = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$", r"^[\$₩€£]\s*([\d,]+\.?\d*)$", r"^(\d{1,3}(?:\.\d{3})*),(\d+)$"
 NOT_FINITE = r"^\s*[+-]?(inf|infinity|nan)\s*$"

@@ -1,7 +1,8 @@
 """Table detection: sheets (source, r, cells) to regions, one task per sheet, all sheets at once.
 
-Cells are classified once, in the JVM (`cells.code`); a sheet then is a matrix of codes on which six strategies, the
-quality score and the XY-cut work as array operations. Texts are looked at only for repeated headers and keywords.
+Cells are classified where their rows are (`coded_rows`), each distinct value of a batch once; rows without content go
+before the shuffle. A sheet then is a matrix of codes on which six strategies, the quality score and the XY-cut work as
+array operations. Texts are looked at only for repeated headers and keywords.
 
 A region is (header, top, left, bottom, right): header -1 for none, bottom inclusive, right exclusive. An empty sheet has
 no regions; null cells are empty ones; rows of one sheet may differ in length.
@@ -14,13 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridloom.functions import cells as C
+from gridloom.functions import codes as C
 from gridloom.functions import constants as K
+from gridloom.functions.codes import DATE, EMPTY, NUMERIC, TEXT
+from gridloom.functions.codes import clean as cleaned
 
-EMPTY, NUMERIC, DATE, TEXT = range(4)
 LEAST_QUALITY, LEAST_ROWS = 0.45, 2
 
 
@@ -32,22 +34,31 @@ class Region(NamedTuple):
     right: int
 
 
-def text_of(v: str | None) -> str:
-    return "" if v is None else v
+class Texts:
+    """The cells of the rows that hold any, read one at a time, as few are looked at."""
 
+    def __init__(self, rows: list[int], cells: pa.Array):
+        self.place = {r: i for i, r in enumerate(rows)}
+        self.values = cells.flatten()
+        self.ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))])
 
-def cleaned(v: str | None) -> str:
-    """Twin of cells.clean_cell for the few cells that are looked at one by one."""
-    v = text_of(v).strip().replace("\0", "").replace("﻿", "")
-    v = v[1:] if len(v) > 1 and v[0] == "'" and v[1] in "=+@-" else v
-    return "" if v in K.MISSING_MARKERS else v
+    def width(self, r: int) -> int:
+        i = self.place.get(r)
+        return 0 if i is None else int(self.ends[i + 1] - self.ends[i])
+
+    def get(self, r: int, c: int) -> str:
+        i = self.place.get(r)
+        if i is None or not 0 <= c < self.ends[i + 1] - self.ends[i]:
+            return ""
+        return self.values[int(self.ends[i]) + c].as_py() or ""
 
 
 class Sheet:
-    """Texts, and their codes as a matrix; cells beyond a row's end are empty and don't count in its length."""
+    """A window of texts, and their codes as a matrix; cells beyond a row's end are empty and don't count in its length."""
 
-    def __init__(self, texts: list[list[str | None]], code: np.ndarray, length: np.ndarray):
-        self.texts, self.code, self.length = texts, code, length
+    def __init__(self, texts: Texts, code: np.ndarray, length: np.ndarray, r0: int = 0, c0: int = 0):
+        self.texts, self.code, self.length, self.r0, self.c0 = texts, code, length, r0, c0
+        self.source: str | None = None
         self.kind = code & 3
         self.filled = self.kind != EMPTY
         self.rows, self.columns = code.shape
@@ -55,26 +66,35 @@ class Sheet:
         self.rate = self.count / np.maximum(length, 1)
 
     @classmethod
-    def of(cls, texts: list[list[str | None]], codes: list[list[int]]) -> Sheet:
-        length = np.array([len(x) for x in codes], np.int64)
-        code = np.zeros((len(codes), int(length.max(initial=0))), np.uint8)
-        code[np.arange(code.shape[1])[None] < length[:, None]] = np.fromiter((v for x in codes for v in x), np.uint8, int(length.sum()))
-        return cls(texts, code, length)
+    def of(cls, grid: list[list[str | None]]) -> Sheet:
+        """A sheet of plain rows."""
+        cells = pa.array([x or [] for x in grid], pa.list_(pa.string()))
+        n = len(grid)
+        return cls.placed(pa.array(range(n), pa.int64()), pa.array([len(x or []) for x in grid], pa.int32()), cells, _packed(cells, C.coded(cells.flatten())))
+
+    @classmethod
+    def placed(cls, at: pa.Array, width: pa.Array, cells: pa.Array, codes: pa.Array) -> Sheet:
+        """Rows by their place in the sheet; rows without content may lack, but for the last and the widest."""
+        at, width = at.to_numpy(), width.to_numpy()
+        rows, columns = (int(at.max()) + 1, int(width.max())) if len(at) else (0, 0)
+        length, code = np.zeros(rows, np.int64), np.zeros((rows, columns), np.uint8)
+        length[at] = width
+        n = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer(b"".join(codes.to_pylist()), np.uint8)
+        code[np.repeat(at, n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+        return cls(Texts(at.tolist(), cells), code, length)
 
     def text(self, r: int, c: int) -> str:
-        row = self.texts[r] if 0 <= r < self.rows else []
-        return text_of(row[c]) if c < len(row) else ""
+        return self.texts.get(r + self.r0, c + self.c0) if 0 <= r < self.rows and 0 <= c < self.columns else ""
 
     def part(self, r0: int, r1: int, c0: int, c1: int) -> Sheet:
         """The cells of both ranges, ends included; all rows get the same length."""
-        texts = [[self.text(r, c) for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
         code = self.code[r0 : r1 + 1, c0 : c1 + 1]
-        return Sheet(texts, code, np.full(len(code), c1 + 1 - c0))
+        return Sheet(self.texts, code, np.full(len(code), c1 + 1 - c0), self.r0 + r0, self.c0 + c0)
 
     def summary(self, r: int, left: int = 0, right: int | None = None) -> bool:
-        end = len(self.texts[r]) if right is None else right
-        line = " ".join(self.text(r, c).strip().lower() for c in range(left, end))
-        return any(k in line for k in K.SUMMARY_KEYWORDS)
+        end = min(self.columns, self.texts.width(r + self.r0) - self.c0) if right is None else right
+        return C.summary_lines([" ".join(self.text(r, c).strip() for c in range(left, end))])[0]
 
     def first_textual(self, lo: int, hi: int, default: int, count: np.ndarray | None = None, numeric: np.ndarray | None = None) -> int:
         """The first row of lo..hi-1 with two filled cells or more, over half of them no numbers."""
@@ -223,6 +243,20 @@ def single(s: Sheet, strategy: str | None = None) -> Region | None:
     return max(found, key=lambda r: quality(s, r), default=None)
 
 
+def agreement(s: Sheet, region: Region) -> list[float]:
+    """Of each column of the region's cleaned rows, the share of the commonest class among filled cells; 1 where none is."""
+    seen, rows = set(), []
+    for r in range(region.top, min(region.bottom, s.rows - 1) + 1):
+        if s.filled[r, region.left : region.right].any() and not s.summary(r, region.left, region.right):
+            line = tuple(cleaned(s.text(r, c)) for c in range(region.left, region.right))
+            if any(line) and line not in seen:
+                seen.add(line)
+                rows.append(r)
+    kind = s.kind[rows, region.left : region.right] if rows else np.zeros((0, 0), np.uint8)
+    tally = np.stack([(kind == k).sum(0) for k in (NUMERIC, DATE, TEXT)])
+    return np.where(tally.sum(0) > 0, tally.max(0) / np.maximum(tally.sum(0), 1), 1.0).tolist()
+
+
 class _Cut:
     """The cuts of one sheet into blocks."""
 
@@ -270,10 +304,10 @@ class _Cut:
 
     def repeats(self, header: int, r0: int, r1: int, c0: int, c1: int) -> set[int]:
         s = self.s
-        sign = lambda r: [cleaned(s.text(r, c)).lower() for c in range(c0, c1 + 1)]
-        same = (s.code[r0 : r1 + 1, c0 : c1 + 1] & 3 == s.kind[header, c0 : c1 + 1]).all(1)
-        wanted = sign(header)
-        return {r for r in np.flatnonzero(same).tolist() if sign(r0 + r) == wanted}
+        sign = lambda r, c: cleaned(s.text(r, c)).lower()
+        same = (s.kind[r0 : r1 + 1, c0 : c1 + 1] == s.kind[header, c0 : c1 + 1]).all(1)
+        wanted = [(c, sign(header, c)) for c in range(c0, c1 + 1)]
+        return {r for r in np.flatnonzero(same).tolist() if all(sign(r0 + r, c) == v for c, v in wanted)}
 
 
 def blocks(s: Sheet) -> list[tuple[int, int, int, int]]:
@@ -312,22 +346,51 @@ def regions(s: Sheet, strategy: str | None = None) -> list[Region]:
     return [one] if one is not None else []
 
 
+def _packed(cells: pa.Array, codes: np.ndarray) -> pa.Array:
+    """The codes of a list array's values as a row of bytes for each list."""
+    n = pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def coded_rows(sheets: DataFrame) -> DataFrame:
+    """(source, r, width, cells, codes) of the rows that hold anything, and of each batch's last and widest row; what is
+    coded already is taken as it is."""
+    if "codes" in sheets.columns:
+        return sheets.select("source", "r", "width", "cells", "codes")
+
+    def run(batches):
+        for x in batches:
+            cells, at = x.column(2), x.column(1).to_numpy()
+            codes = _packed(cells, C.coded(cells.flatten()))
+            width = pc.fill_null(pc.list_value_length(cells), 0)
+            n = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            filled = np.concatenate([[0], np.cumsum(np.frombuffer(codes.buffers()[2] or b"", np.uint8)[: ends[-1]] & 3 != EMPTY)])
+            keep = filled[ends[1:]] > filled[ends[:-1]]
+            source = pc.dictionary_encode(x.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            for of in (at, width.to_numpy(zero_copy_only=False)):
+                most = np.full(int(source.max(initial=0)) + 1, -1, np.int64)
+                np.maximum.at(most, source, of)
+                keep |= of == most[source]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), width.cast(pa.int32()), cells, codes], names=["source", "r", "width", "cells", "codes"]).filter(pa.array(keep))
+
+    return sheets.selectExpr("source", "cast(r as long) as r", "cells").mapInArrow(run, "source string, r long, width int, cells array<string>, codes binary")
+
+
 def per_sheet(sheets: DataFrame, judge: Callable[[Sheet], list[tuple]], fields: list[tuple[str, pa.DataType]], sql: str) -> DataFrame:
     """(source, table_no, fields) from `judge` of every sheet; sheets are (source, r, cells), r a row's index from 0."""
-    coded = sheets.select("source", "r", "cells", F.transform("cells", C.code).alias("codes"))
     schema = pa.schema([("source", pa.string()), ("table_no", pa.int32()), *fields])
 
     def run(key, t):
-        t = t.sort_by("r")
-        at, cells, codes = t["r"].to_pylist(), t["cells"].to_pylist(), t["codes"].to_pylist()
-        texts, kinds = [[] for _ in range(at[-1] + 1)], [[] for _ in range(at[-1] + 1)]
-        for r, x, k in zip(at, cells, codes, strict=True):
-            texts[r], kinds[r] = x or [], k or []
-        found = judge(Sheet.of(texts, kinds))
+        t = t.sort_by("r").combine_chunks()
+        sheet = Sheet.placed(*(t[c].chunk(0) for c in ("r", "width", "cells", "codes")))
+        sheet.source = key[0].as_py()
+        found = judge(sheet)
         rows = [dict(zip(schema.names, (key[0].as_py(), i, *f), strict=True)) for i, f in enumerate(found)]
         return pa.Table.from_pylist(rows, schema=schema)
 
-    return coded.groupBy("source").applyInArrow(run, f"source string, table_no int, {sql}")
+    return coded_rows(sheets).groupBy("source").applyInArrow(run, f"source string, table_no int, {sql}")
 
 
 def detect(sheets: DataFrame, strategy: str | None = None) -> DataFrame:

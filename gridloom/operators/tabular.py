@@ -13,11 +13,28 @@ from gridloom.functions import cells
 from gridloom.functions import constants as K
 
 
+#: Text of a mapping that goes to all workers.
+MAPPING_BYTES = 64 << 20
+#: Of a column's sampled cells, the share that must have the most frequent number of delimiters.
+AGREE = 0.9
+
+
 def q(name: str):
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def merge(df: DataFrame, sum_column: str | list[str]) -> DataFrame:
     """Sum by all other columns. Rows with a null key are dropped, null sums are 0, output is in key order."""
     sums = [sum_column] if isinstance(sum_column, str) else list(sum_column)
@@ -46,14 +63,17 @@ def clarify(df: DataFrame, column: str, mapping: DataFrame, sum_columns: list[st
     """Map values by dictionary (unmapped ones stay), weight and sum by the remaining columns if sum_columns are given.
 
     mapping has source, target, addno and ord. Of entries with one source that of highest ord counts. It is broadcast
-    while it has `most` rows at most and joined by shuffle beyond.
+    while it has `most` rows and MAPPING_BYTES of text at most and joined by shuffle beyond. df may have columns of any
+    name, the mapping's included.
     """
     if column not in df.columns:
         raise KeyError(column)
-    single = mapping.groupBy("source").agg(F.max_by(F.struct("target", "addno"), "ord").alias("_to"))
-    small = single.limit(most + 1).count() <= most
-    out = df.join(F.broadcast(single) if small else single, cells.strip(q(column)) == F.col("source"), "left")
-    out = out.withColumn(column, F.coalesce("_to.target", q(column))).withColumn(addno_col, F.coalesce("_to.addno", F.lit(1.0))).drop("_to", "source")
+    key, to = fresh(df, "_source", "_to")
+    single = mapping.groupBy(F.col("source").alias(key)).agg(F.max_by(F.struct("target", "addno"), "ord").alias(to))
+    rows, size = single.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key) + F.octet_length(f"{to}.target")), F.lit(0))).first()
+    small = rows <= most and size <= MAPPING_BYTES
+    out = df.join(F.broadcast(single) if small else single, cells.strip(q(column)) == F.col(key), "left")
+    out = out.withColumn(column, F.coalesce(f"{to}.target", q(column))).withColumn(addno_col, F.coalesce(f"{to}.addno", F.lit(1.0))).drop(to, key)
     if not sum_columns:
         return out.drop(addno_col)
     for c in sum_columns:
@@ -118,22 +138,39 @@ def atomize_by_column(df: DataFrame, columns: str | list[str] | None = None, del
     return df
 
 
-def atomize_by_row(df: DataFrame, column: str, delimiter: str, ragged: bool = False, sample: int = 30) -> DataFrame:
-    """The parts of a cell as columns <column>_1..n in its place. n is the most frequent number of parts over the first
-    `sample` non-null rows (the smallest on ties) and rows with another number are dropped; ragged keeps all rows, n is
-    then the greatest number."""
-    split = F.transform(F.split(q(column).cast("string"), r"\Q" + delimiter + r"\E"), cells.strip)
-    df = df.withColumn("_parts", split)
-    if ragged:
-        n = df.agg(F.max(F.size("_parts"))).first()[0] or 0
+def atomize_by_row(df: DataFrame, columns: str | list[str] | None = None, delimiter: str | None = None, value_col: str | None = None, sample: int = 30, order: list[str] | None = None) -> DataFrame:
+    """The parts of a cell as columns <column>_1..n behind the others, in place of the column.
+
+    The column is the first of `columns` whose first `sample` values (by `order`, else as they lie) have most often the
+    same number of delimiters, one or more and in nine tenths of them at least (the smallest number on ties); rows with
+    another number of parts are dropped. Without such a column it is a ValueError. value_col names the column and keeps all
+    rows: n is then the greatest number of parts, and what a row lacks is null. A null cell has no parts.
+    """
+    if not delimiter:
+        raise ValueError("a delimiter is needed")
+    count = lambda c: F.regexp_count(q(c).cast("string"), F.lit(r"\Q" + delimiter + r"\E"))
+    if value_col:
+        chosen, n = value_col, None
+    else:
+        chosen = n = None
+        for c in [columns] if isinstance(columns, str) else columns or []:
+            rows = df.filter(q(c).isNotNull())
+            rows = rows.orderBy(*[q(o) for o in order]) if order else rows
+            sizes = [r[0] for r in rows.select(count(c)).limit(sample).collect()]  # the bounded head of the table
+            most = min(set(sizes), key=lambda k: (-sizes.count(k), k), default=0)
+            if most > 0 and sizes.count(most) >= AGREE * len(sizes):
+                chosen, n = c, most + 1
+                break
+        if chosen is None:
+            raise ValueError("no column splits into equally many parts")
+    (parts_,) = fresh(df, "_parts")
+    split = F.transform(F.split(q(chosen).cast("string"), r"\Q" + delimiter + r"\E"), cells.strip)
+    out = df.withColumn(parts_, split)
+    if n is None:
+        n = out.agg(F.coalesce(F.max(F.size(parts_)), F.lit(0))).first()[0]
     else:
-        # the bounded head of the table
-        sizes = [r[0] for r in df.filter(q(column).isNotNull()).select(F.size("_parts")).limit(sample).collect()]
-        if not sizes:
-            raise ValueError(f"{column} has no values")
-        n = min(sorted(set(sizes)), key=lambda s: (-sizes.count(s), s))
-        df = df.filter(F.size("_parts") == n)
-    return df.select(*[q(c) for c in df.columns if c not in (column, "_parts")], *[F.get("_parts", F.lit(i)).alias(f"{column}_{i + 1}") for i in range(n)])
+        out = out.filter(F.size(parts_) == n)
+    return out.select(*[q(c) for c in df.columns if c != chosen], *[F.get(parts_, F.lit(i)).alias(f"{chosen}_{i + 1}") for i in range(max(n, 0))])
 
 
 def multivalue_columns(df: DataFrame, candidates: list[str] | None = None, min_overlap: float = 0.3, min_multi_ratio: float = 0.1) -> DataFrame:
@@ -161,15 +198,54 @@ def multivalue_columns(df: DataFrame, candidates: list[str] | None = None, min_o
     return best.orderBy(F.desc("score"), "pos").select("column", "delimiter", F.round("score", 3).alias("confidence"))
 
 
-def flatten(df: DataFrame, stubs: list[str], levels: list[list[str | None]], vertical_names: list[str] | None = None, horizontal_names: list[str] | None = None, value_name: str = "value") -> DataFrame:
+def melt(df: DataFrame, stubs: list[str], levels: list[list[str | None]], vertical_names: list[str] | None = None, horizontal_names: list[str] | None = None, value_name: str = "value") -> DataFrame:
     """Unpivot all columns but the stubs; levels holds the header parts of each, null parts as [NaN]. Nulls are kept."""
     values = [c for c in df.columns if c not in stubs]
     depth = max((len(x) for x in levels), default=1)
-    across = horizontal_names if horizontal_names and len(horizontal_names) == depth else [f"horizontal_{i + 1}" for i in range(depth)]
-    down = vertical_names if vertical_names and len(vertical_names) == len(stubs) else [f"vertical_{i + 1}" for i in range(len(stubs))]
-    one = lambda c, x: F.struct(*[F.lit("[NaN]" if p is None else p).alias(n) for p, n in zip([*x, *[None] * (depth - len(x))], across, strict=True)], q(c).cast("string").alias(value_name))
-    cells_ = F.explode(F.array(*[one(c, x) for c, x in zip(values, levels, strict=True)])).alias("_cell")
-    return df.select(*[q(s).alias(d) for s, d in zip(stubs, down, strict=True)], cells_).select(*[q(d) for d in down], "_cell.*")
+    across = _named(horizontal_names, "horizontal", depth)
+    down = _named(vertical_names, "vertical", len(stubs))
+    one = lambda c, x: F.struct(*[F.lit(NAN if p is None else p).alias(n) for p, n in zip([*x, *[None] * (depth - len(x))], across, strict=True)], q(c).cast("string").alias(value_name))
+    (cell,) = fresh(df, "_cell")
+    cells_ = F.explode(F.array(*[one(c, x) for c, x in zip(values, levels, strict=True)])).alias(cell)
+    return df.select(*[q(s).alias(d) for s, d in zip(stubs, down, strict=True)], cells_).select(*[q(d) for d in down], f"{cell}.*")
+
+
+NAN = "[NaN]"
+
+
+def _named(names: list[str] | None, kind: str, n: int) -> list[str]:
+    return list(names) if names and len(names) == n else [f"{kind}_{i + 1}" for i in range(n)]
+
+
+def flatten(grid: DataFrame, header_rows: int | None = None, header_cols: int | None = None, horizontal_names: list[str] | None = None, vertical_names: list[str] | None = None, value_name: str = "value") -> DataFrame:
+    """A grid (r, cells) with header_rows rows of column heads and header_cols columns of row heads to long form: the row
+    heads, the column heads, the value; column after column. Null heads read [NaN], null values stay.
+
+    Rows of heads are found, where not given, as the parse path finds them (one more than the last of them), columns of
+    heads by the greatest block of numbers, over BLOCK_ROWS rows of the body; a ValueError where that isn't most of the width.
+    """
+    from gridloom.operators import areas
+
+    if header_rows is None:
+        head = grid.filter(F.col("r") <= areas.HEAD + 1).orderBy("r").collect()  # a bounded head
+        header_rows = areas.header_end(areas.Frame([list(x.cells) for x in head]).kind) + 1
+    if header_cols is None:
+        rows = grid.filter(F.col("r") < header_rows + BLOCK_ROWS).orderBy("r").collect()  # a bounded head
+        header_cols = areas.stub_columns(areas.Frame([list(x.cells) for x in rows]), header_rows)
+    top = grid.filter(F.col("r") < header_rows).orderBy("r").collect()  # the rows of heads
+    width = grid.agg(F.coalesce(F.max(F.size("cells")), F.lit(0))).first()[0]
+    heads = [[x.cells[c] if c < len(x.cells) else None for x in top] for c in range(header_cols, width)]
+    across, down = _named(horizontal_names, "horizontal", header_rows), _named(vertical_names, "vertical", header_cols)
+    cell = lambda c: F.get("cells", F.lit(c))
+    one = lambda c, x: F.struct(F.lit(c).alias("_c"), *[F.lit(NAN if v is None else v).alias(f"h{i}") for i, v in enumerate(x)], cell(c).alias("v"))
+    values = F.explode(F.array(*[one(c, x) for c, x in enumerate(heads, header_cols)])).alias("e")
+    body = grid.filter(F.col("r") >= header_rows).select("r", *[F.coalesce(cell(i), F.lit(NAN)).alias(f"s{i}") for i in range(header_cols)], values)
+    named = [*[F.col(f"s{i}").alias(n) for i, n in enumerate(down)], *[F.col(f"e.h{i}").alias(n) for i, n in enumerate(across)], F.col("e.v").alias(value_name)]
+    return body.orderBy("e._c", "r").select(*named)
+
+
+#: Rows of the body in which flatten looks for the block of numbers.
+BLOCK_ROWS = 10_000
 
 
 def union_parts(parts_: list[DataFrame]) -> DataFrame:

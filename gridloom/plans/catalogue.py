@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import cells
 from gridloom.functions import constants as K
-from gridloom.operators import detect as D
 from gridloom.operators import grid as G
 from gridloom.operators import model as M
 from gridloom.operators import tabular as T
@@ -153,7 +152,7 @@ def to_long(spark, sf):
 
 def flatten(spark, sf):
     by = _t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
-    return T.flatten(by, ["name"], [["key", "nation"], ["key", None]])
+    return T.melt(by, ["name"], [["key", "nation"], ["key", None]])
 
 
 def delimiter_detect(spark, sf):
@@ -220,32 +219,6 @@ def scan_grid_csv(spark, sf):
     return csvgrid.parsed(_t(spark, sf, "nation").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(";", F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.concat(F.lit('"'), "n_name", F.lit(';x"'))))), "\n").alias("t")).select(F.lit("nation.csv").alias("source"), F.col("t").cast("binary").alias("content"))).select("r", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
 
 
-#: Small sheets with known tables: a crosstab, two tables beside each other, two below each other, one without a header.
-SHEETS = {
-    "crosstab": [["", "", "2020", "2021"], ["group", "kind", "sales", "sales"], ["home", "TV", "10", "20"], ["", "fridge", "30", "40"], ["life", "food", "50", "60"]],
-    "beside": [["Name", "Qty", "", "City", "Pop"], ["a", "1", "", "Rome", "10"], ["b", "2", "", "Oslo", "20"], ["c", "3"], ["d", "4"], ["e", "5"]],
-    "below": [["k", "v"], ["a", "1"], ["b", "2"], [], [], ["x", "y"], ["c", "3"], ["d", "4"]],
-    "bare": [["a", "1"], ["b", "2"], ["c", "3"]],
-}
-
-
-def _sheets(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([(n, i, x) for n in names for i, x in enumerate(SHEETS[n])], "source string, r long, cells array<string>")
-
-
-def strategies(spark, sf):
-    return D.candidates(_sheets(spark, "crosstab")).drop("table_no", "quality")
-
-
-def detect_tables(spark, sf):
-    return D.detect(_sheets(spark, *SHEETS)).drop("quality")
-
-
-def table_models(spark, sf):
-    m = M.models(_sheets(spark, "crosstab", "bare"))
-    return m.withColumn("names", F.concat_ws(";", "stubs", F.flatten("levels"))).drop("stubs", "levels")
-
-
 def wide_by_model(spark, sf):
     """Finds the nation table in its noisy grid, works out its model and cleans it."""
     grid = _nation_grid(spark, sf)
@@ -261,14 +234,22 @@ def long_by_model(spark, sf):
     return M.long(grid, m)
 
 
-_NAMES = [cell_types, clean_cells, label_tokens, normalise_values, summary_rows, row_features, column_profile, strategy_rules, density_band, clean_region, to_long, flatten, delimiter_detect, atomize_column, atomize_row, multivalue_columns, clarify_map, clarify_sum, merge_sum, merge_no_keys, append_named, append_positional, profile, bag_f1, scan_grid_csv, strategies, detect_tables, table_models, wide_by_model, long_by_model]
+_NAMES = [cell_types, clean_cells, label_tokens, normalise_values, summary_rows, row_features, column_profile, strategy_rules, density_band, clean_region, to_long, flatten, delimiter_detect, atomize_column, atomize_row, multivalue_columns, clarify_map, clarify_sum, merge_sum, merge_no_keys, append_named, append_positional, profile, bag_f1, scan_grid_csv, wide_by_model, long_by_model]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _NAMES}
+    from gridloom.plans import sheets
+
+    return {f.__name__: f for f in _NAMES} | sheets.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridloom.plans import sheets
+
+    return _own_sql() | sheets.oracle_sql()
+
+
+def _own_sql() -> dict[str, str]:
     year = "case when regexp_matches(replace(trim(v), ',', ''), '^[0-9]{4}$') and cast(replace(trim(v), ',', '') as int) between 1900 and 2100 then cast(replace(trim(v), ',', '') as int) end"
     clean = _sql_clean("v")
     filled = "len(list_filter(k, lambda x: x <> 'empty'))"
@@ -320,11 +301,6 @@ def oracle_sql() -> dict[str, str]:
         "profile": "with s as (select unnest(['p_name', 'p_type', 'p_brand']) as \"column\", unnest([p_name, p_type, p_brand]) as v from part) select \"column\", count(*) as n, count(*) filter (where trim(coalesce(v, '')) in " + _MARKERS + ") as missing, count(distinct v) as distinct_values, count(*) filter (where " + _sql_numeric("v") + ") as numeric, count(*) filter (where regexp_matches(v, '^[=+@\\-\\t\\r\\n]') and not " + _sql_numeric("v") + ") as injections from s group by 1",
         "bag_f1": "with a as (select o_custkey, o_orderstatus, count(*) as n from orders group by all), b as (select o_custkey, o_orderstatus, count(*) as m from orders where o_orderstatus <> 'F' group by all), h as (select sum(least(coalesce(n, 0), coalesce(m, 0))) as hit, sum(coalesce(n, 0)) as p, sum(coalesce(m, 0)) as t from a full join b using (o_custkey, o_orderstatus)) select cast(hit as bigint) as hits, round(hit / p, 6) as precision, round(hit / t, 6) as recall, round(2 * hit / (p + t), 6) as f1 from h",
         "scan_grid_csv": "select cast(n_nationkey as bigint) as r, lpad(cast(n_nationkey as varchar), 3, '0') as key, n_name || ';x' as name from nation",
-        "strategies": "select 'crosstab' as source, k as strategy, 1 as header, 2 as top, 0 as left_col, 4 as bottom, 4 as right_col from (select unnest(['A', 'B', 'C', 'D', 'E', 'F']) as k)",
-        "detect_tables": """select source, cast(n as int) as table_no, cast(h as int) as header, cast(t as int) as top, cast(l as int) as left_col, cast(b as int) as bottom, cast(x as int) as right_col from (values
-            ('crosstab', 0, 1, 2, 0, 4, 4), ('beside', 0, 0, 1, 0, 5, 2), ('beside', 1, 0, 1, 3, 2, 5), ('below', 0, 0, 1, 0, 2, 2), ('below', 1, 5, 6, 0, 7, 2), ('bare', 0, 0, 1, 0, 2, 2)) v(source, n, h, t, l, b, x)""",
-        "table_models": """select source, 0::int as table_no, hf::int as hdr_first, hl::int as hdr_last, se::int as stub_end, t::int as top, l::int as left_col, b::int as bottom, x::int as right_col, leaf::int as leaf, names from (values
-            ('crosstab', 0, 1, 2, 2, 0, 4, 4, 0, 'group kind'), ('bare', null, null, 1, 0, 0, 2, 2, -1, '')) v(source, hf, hl, se, t, l, b, x, leaf, unused), (values ('crosstab', 'group;kind;2020;2021;sales;sales'), ('bare', 'Col_0;Col_1')) w(source_, names) where source = source_""",
         "wide_by_model": "select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation",
         "long_by_model": f"with {_CROSS} select s as status, p as priority, variable, value from (select s, p, unnest(['orders', 'customers']) as variable, unnest([cast(n as varchar), cast(m as varchar)]) as value from cross_)",
     }

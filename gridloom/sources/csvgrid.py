@@ -5,7 +5,10 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +19,18 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "latin-1")
 _KIND = pa.schema([("source", pa.string()), ("r", pa.int64()), ("cells", pa.list_(pa.string()))])
 
 
-def decode(content: bytes) -> str:
+def decoded(content: bytes) -> tuple[str, str]:
+    """The first encoding that fits, and the text."""
     for name in ENCODINGS[:-1]:
         try:
-            return content.decode(name)
+            return name, content.decode(name)
         except UnicodeDecodeError:
             continue
-    return content.decode(ENCODINGS[-1])
+    return ENCODINGS[-1], content.decode(ENCODINGS[-1])
+
+
+def decode(content: bytes) -> str:
+    return decoded(content)[1]
 
 
 def _splits_alike(lines: list[str], pattern: str) -> bool:
@@ -43,23 +51,26 @@ def guess_delimiter(text: str) -> str:
     return next((p for p in ("::", r"\s{2,}") if _splits_alike(lines, p)), ",")
 
 
-def rows(text: str, delimiter: str | None = None) -> list[list[str]]:
+def rows(text: str, delimiter: str | None = None) -> Iterator[list[str]]:
     delimiter = delimiter or guess_delimiter(text)
     if delimiter in GRID_DELIMITERS:
-        return list(csv.reader(io.StringIO(text), delimiter=delimiter))
-    return [re.split(delimiter, x.strip()) if x.strip() else [] for x in text.split("\n")]
+        csv.field_size_limit(sys.maxsize)  # cells of any length
+        return csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
+    return (re.split(delimiter, x.strip()) if x.strip() else [] for x in text.split("\n"))
 
 
-def parsed(files: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """files (source, content binary) -> (source, r, cells), r from 0."""
+def parsed(files: DataFrame, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """files (source, content binary) -> (source, r, cells), r from 0. A file is decoded in one task; its rows leave it in
+    batches."""
 
     def run(batches):
         for x in batches:
             for source, content in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                found = rows(decode(content.as_py() or b""), delimiter)
-                for i in range(0, len(found), 10_000):
-                    part = found[i : i + 10_000]
+                raw = content.as_py() or b""
+                found, i = rows(raw.decode(encoding) if encoding else decode(raw), delimiter), 0
+                while part := list(islice(found, 10_000)):
                     yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=_KIND)
+                    i += len(part)
 
     return files.select("source", "content").mapInArrow(run, "source string, r long, cells array<string>")
 

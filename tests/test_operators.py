@@ -21,8 +21,8 @@ def test_merge_drops_null_keys_and_orders(spark):
 def test_atomize(spark):
     df = spark.createDataFrame([(1, "x, y"), (2, None), (3, " , "), (4, "z")], "i int, t string")
     assert sorted((r.i, r.t or "") for r in tabular.atomize_by_column(df, "t", ",").collect()) == [(1, "x"), (1, "y"), (2, ""), (3, ""), (4, "z")]
-    rows = tabular.atomize_by_row(spark.createDataFrame([("a/b",), ("c/d",), ("e",)], "t string"), "t", "/").collect()
-    assert [tuple(r) for r in rows] == [("a", "b"), ("c", "d")]
+    rows = tabular.atomize_by_row(spark.createDataFrame([("a/b",)] * 9 + [("e",)], "t string"), "t", "/").distinct().collect()
+    assert [tuple(r) for r in rows] == [("a", "b")]
 
 
 def test_multivalue_columns(spark):
@@ -42,7 +42,7 @@ def test_clean_region_keeps_first(spark):
 
 def test_csv_grid():
     assert csvgrid.guess_delimiter("a;b\n1;2") == ";"
-    assert csvgrid.rows('a,"b\nc"\n1') == [["a", "b\nc"], ["1"]]
+    assert list(csvgrid.rows("a,\"b\nc\"\n1")) == [["a", "b\nc"], ["1"]]
     assert csvgrid.guess_delimiter("1::a::x\n2::b::y\n3::c::z") == "::"
     assert csvgrid.decode("한글".encode("cp949")) == "한글"
 

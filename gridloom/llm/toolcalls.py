@@ -2,15 +2,17 @@
 
 Calls and results are hash-joined by conversation and call id. Calls are ordered so that each stands after those it
 depends on. Where all calls of a conversation depend on earlier positions only, position order is such an order and is
-taken, then id. In the other conversations a call's level is one more than the highest level below it, found in rounds
-over the calls not yet ordered, as many rounds as the longest chain there; they go by level, position and id. Arguments are checked against a schema per tool and
-written as canonical JSON: keys in order, no blanks.
+taken, then id. In the others a call's level is one more than the highest level below it; they go by level, position
+and id. The levels of a conversation of GROUP calls at most are found within one row; larger ones in rounds over the
+calls not yet ordered, as many rounds as their longest chain, without a limit. Arguments are checked against a schema
+per tool and written as canonical JSON: keys in order, no blanks.
 
 Defined results: a call without result has linked = false and result null; of several results the one of highest
 position, then greatest content, is taken; a result without call gives no row (see `orphans`). Of calls with one id in
 one conversation, that of least position counts, then of least arguments. A dependency on an unknown call is void.
 Calls in a cycle, or above one, get no level, order null and valid = false. Null or broken argument JSON is invalid
-and written as null. A null conversation id or call id gives no link. Extra columns are ignored.
+and written as null. Calls with a null conversation id or call id are rows of their own, each, without link, order
+or validity. Extra columns are ignored.
 
 Only DataFrame functions are used.
 """
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
 
+#: Calls of a conversation whose levels are found within one row; positions in one block when calls are numbered.
+GROUP, BLOCK = 128, 1024
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "boolean": ["BOOLEAN"], "null": ["VOID"]}
 
 
@@ -85,43 +89,74 @@ def fits(arguments: Column, tool: Tool) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
+def _within(calls: DataFrame) -> DataFrame:
+    """levels() of conversations of GROUP calls at most: a row each, calls by index; in round k the calls get level k whose
+    needs all have a lower one."""
+    rows = calls.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("call_id", "needs"))).alias("c"))  # GROUP calls at most
+    ids = F.transform("c", lambda x: x["call_id"])
+    rows = rows.select("conv_id", ids.alias("ids"), F.transform("c", lambda x: F.transform(x["needs"], lambda y: F.array_position(ids, y).cast("int") - 1)).alias("needs"))
+    met = lambda acc, k, i: F.forall(F.get("needs", i), lambda j: F.coalesce(F.get(acc, j) < k, F.lit(False)))
+    step = lambda acc, k: F.transform(acc, lambda at, i: F.coalesce(at, F.when(met(acc, k, i), k)))
+    found = F.aggregate(F.sequence(F.lit(0), F.size("ids") - 1), F.transform("ids", lambda _: F.lit(None).cast("int")), step)
+    return rows.select("conv_id", F.explode(F.arrays_zip("ids", found.alias("levels"))).alias("e")).select("conv_id", F.col("e.ids").alias("call_id"), F.col("e.levels").alias("level")).filter("level is not null")
+
+
+def levels(calls: DataFrame, group: int = GROUP) -> DataFrame:
     """(conv_id, call_id, level) of the calls whose dependencies end; calls has conv_id, call_id, position, depends_on."""
     key = ["conv_id", "call_id"]
     needs = calls.select(*key, "position", F.explode(F.array_distinct("depends_on")).alias("needs"))
     known = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("position").alias("_where"))
     needs = written(needs.join(known, ["conv_id", "needs"]), "needs")
     # a conversation without a need at the same or a later position is in order as it stands
-    unsettled = written(needs.filter("not coalesce(_where < position, false)").select("conv_id").distinct(), "unsettled")
+    unsettled = needs.filter("not coalesce(_where < position, false)").select("conv_id").distinct()
+    unsettled = written(unsettled.join(calls.groupBy("conv_id").agg(F.count("*").alias("size")), "conv_id"), "unsettled")
     settled = calls.select(*key).join(unsettled, "conv_id", "left_anti").withColumn("level", F.lit(0))
-    needs = needs.drop("position", "_where").join(unsettled, "conv_id", "left_semi")
-    if unsettled.isEmpty():
-        return settled
-    calls = calls.join(unsettled, "conv_id", "left_semi")
-    needs = written(needs, "needs")
+    needs, calls = (x.join(unsettled, "conv_id").select(*columns, "size") for x, columns in ((needs, [*key, "needs"]), (calls, key)))
+    small = needs.filter(F.col("size") <= group).groupBy(*key).agg(F.collect_set("needs").alias("needs"))
+    small = calls.filter(F.col("size") <= group).select(*key).join(small, key, "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
+    out = settled.union(_within(small))
+    if unsettled.filter(F.col("size") > group).isEmpty():
+        return out
+    calls, needs = calls.filter(F.col("size") > group), written(needs.filter(F.col("size") > group).drop("size"), "needs")
     done = written(calls.select(*key).join(needs.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "levels")
-    out = done
-    for level in range(1, rounds):
-        # a need that was met in the last round goes; calls without needs left are of this level
+    level = 0
+    while not done.isEmpty():
+        # a need that was met in the last round goes; calls without needs left are of the next level
+        out, level = out.union(done), level + 1
         met = done.select("conv_id", F.col("call_id").alias("needs"))
         left = written(needs.join(met, ["conv_id", "needs"], "left_anti"), "needs")
         done = written(needs.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "levels")
-        if done.isEmpty():
-            return out.union(settled)
-        out, needs = out.union(done), left
-    raise RuntimeError("a chain of calls is longer than the rounds allowed")
+        needs = left
+    return out
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, call_id, level, position, ...) with call_order: 1, 2, ... by level, position and id in each
+    conversation, calls without level aside. Rows are sorted within blocks of positions only, and what stands before a
+    block is summed over the blocks' counts, so that no conversation is sorted in one task."""
+    by = ["conv_id", "level", "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col("position") / BLOCK))
+    before = W.partitionBy("conv_id").orderBy("level", "_block").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.filter("level is not null").groupBy(*by).agg(F.count("*").alias("_n"))
+    counts = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
+    joined = rows.alias("r").join(counts.alias("c"), same, "left").select("r.*", "_before")
+    place = F.row_number().over(W.partitionBy(*by).orderBy("position", "call_id"))
+    return joined.withColumn("call_order", F.when(F.col("level").isNotNull(), place + F.col("_before")).cast("long")).drop("_block", "_before")
 
 
 def linked(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     """calls (conv_id, call_id, position, name, arguments, depends_on), results (conv_id, call_id, position, content)
     -> (conv_id, call_id, call_order, linked, valid, message)."""
     key = ["conv_id", "call_id"]
-    kept = calls.groupBy(*key).agg(F.min(F.struct("position", "arguments", "name", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))).alias("c"))
+    asked = F.struct("position", "arguments", "name", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    nameless = calls.filter("conv_id is null or call_id is null").select(*key, asked.alias("c")).select(*key, "c.*")
+    calls, results = (x.filter("conv_id is not null and call_id is not null") for x in (calls, results))
+    kept = calls.groupBy(*key).agg(F.min(asked).alias("c"))
     calls = written(kept.select(*key, "c.*"), "calls")
     answer = results.groupBy(*key).agg(F.max(F.struct("position", "content")).alias("a")).select(*key, F.col("a.content").alias("result"), F.lit(True).alias("linked"))
     rows = calls.join(answer, key, "left").join(levels(calls), key, "left")
-    order = F.row_number().over(W.partitionBy("conv_id", F.col("level").isNull()).orderBy("level", "position", "call_id"))
-    rows = rows.withColumn("call_order", F.when(F.col("level").isNotNull(), order).cast("long")).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    rows = numbered(rows).unionByName(nameless, allowMissingColumns=True).withColumn("linked", F.coalesce("linked", F.lit(False)))
     good = F.lit(False)
     for t in tools:
         good = F.when(F.col("name") == t.name, fits(F.col("arguments"), t)).otherwise(good)
@@ -153,16 +188,17 @@ TOOLS = [
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, turn, role, text) as calls and results: a system turn calls `configure`, a user turn `answer`
-    with its text, each depending on the call before it if that is the turn before, or the one before that; an
-    assistant turn is the result of the call of the turn before it."""
+    with its text; an assistant turn is the result of the call of the turn before it. What a call depends on goes by its
+    text's bytes modulo 4: the calls of the two turns before it (0), of the turn after the next (1), none (2), of the
+    turn before the last (3). So there are needs of later calls, chains of them, and cycles."""
     call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    system = F.col("role") == "system"
+    system, turn, way = F.col("role") == "system", F.col("turn"), F.coalesce(F.octet_length("text"), F.lit(0)) % 4
     arguments = F.when(system, F.to_json(F.struct(F.col("text").alias("instructions")))).otherwise(F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))))
+    needs = F.when(way == 0, F.array(call(turn - 1), call(turn - 2))).when(way == 1, F.array(call(turn + 2))).when(way == 3, F.array(call(turn - 2))).otherwise(F.array().cast("array<string>"))
     calls = turns.filter("role in ('system', 'user')").select(
-        "conv_id", call(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), F.when(system, "configure").otherwise("answer").alias("name"), arguments.alias("arguments"),
-        F.array(call(F.col("turn") - 1), call(F.col("turn") - 2)).alias("depends_on"),
+        "conv_id", call(turn).alias("call_id"), turn.alias("position"), F.when(system, "configure").otherwise("answer").alias("name"), arguments.alias("arguments"), needs.alias("depends_on")
     )
-    results = turns.filter("role = 'assistant'").select("conv_id", call(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    results = turns.filter("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -171,17 +207,25 @@ def op9_tool_calls(spark, sf_dir: str) -> DataFrame:
     return linked(calls, results, TOOLS)
 
 
-#: For turns numbered without gaps, roles system, user and assistant, as conversations has them: a call's needs are
-#: then the calls of the two turns before it, and position order is already topological.
+#: Levels are the longest walks down the needs; a walk of more steps than a conversation has calls is in a cycle.
 OP9_SQL = """
-with c as (select conv_id, turn, 'call_' || turn as call_id, role, text from conversations where role in ('system', 'user')),
+with recursive
+c as (select conv_id, turn, 'call_' || turn as call_id, role, text, coalesce(strlen(text), 0) % 4 as way from conversations where role in ('system', 'user')),
+d as (select *, case way when 0 then ['call_' || (turn - 1), 'call_' || (turn - 2)] when 1 then ['call_' || (turn + 2)] when 3 then ['call_' || (turn - 2)] else []::varchar[] end as needs from c),
+e as (select x.conv_id, x.call_id, x.turn, y.call_id as need, y.turn as need_turn from (select *, unnest(needs) as n from d) x join c y on x.conv_id = y.conv_id and y.call_id = x.n),
+size as (select conv_id, count(*) as n from c group by 1),
+late as (select distinct conv_id from e where need_turn >= turn),
+walk as (select conv_id, call_id, call_id as at, 0 as steps from c where conv_id in (select conv_id from late)
+         union select w.conv_id, w.call_id, e.need, steps + 1 from walk w join e on e.conv_id = w.conv_id and e.call_id = w.at join size s on s.conv_id = w.conv_id where steps <= s.n),
+level as (select conv_id, call_id, case when max(steps) <= any_value(n) then max(steps) end as level from walk join size using (conv_id) group by 1, 2),
 a as (select conv_id, 'call_' || (turn - 1) as call_id, text as result from conversations where role = 'assistant'),
-o as (select c.*, a.result, a.call_id is not null as linked, row_number() over (partition by c.conv_id order by turn) as call_order
-      from c left join a on c.conv_id = a.conv_id and c.call_id = a.call_id),
+o as (select d.*, a.result, a.call_id is not null as linked, case when late.conv_id is null then 0 else level end as level
+      from d left join a on d.conv_id = a.conv_id and d.call_id = a.call_id left join late on late.conv_id = d.conv_id left join level l on l.conv_id = d.conv_id and l.call_id = d.call_id),
+p as (select *, case when level is not null then row_number() over (partition by conv_id, level is null order by level, turn, call_id) end as call_order from o),
 j as (select *, case when role = 'system' then '{"instructions":' || to_json(text) || '}' else '{"prompt":' || to_json(text) || ',"turn":' || turn || '}' end as args,
-             array_to_string(list_transform(list_sort(['call_' || (turn - 1), 'call_' || (turn - 2)]), lambda x: '"' || x || '"'), ',') as needs from o)
-select conv_id, call_id, call_order, linked, length(text) > 0 as valid,
-       '{"arguments":' || args || ',"depends_on":[' || needs || '],"id":"' || call_id || '","name":"' || case when role = 'system' then 'configure' else 'answer' end
-       || '","order":' || call_order || ',"result":' || coalesce(cast(to_json(result) as varchar), 'null') || '}' as message
+             array_to_string(list_transform(list_sort(needs), lambda x: '"' || x || '"'), ',') as needed from p)
+select conv_id, call_id, call_order, linked, length(text) > 0 and call_order is not null as valid,
+       '{"arguments":' || args || ',"depends_on":[' || needed || '],"id":"' || call_id || '","name":"' || case when role = 'system' then 'configure' else 'answer' end
+       || '","order":' || coalesce(cast(call_order as varchar), 'null') || ',"result":' || coalesce(cast(to_json(result) as varchar), 'null') || '}' as message
 from j
 """

@@ -229,6 +229,40 @@ def test_tool_calls(spark):
     assert toolcalls.orphans(calls, results).count() == 1
 
 
+@pytest.mark.parametrize("group", [128, 2])
+def test_tool_call_order_against_brute_force(spark, group):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for conv in range(25):
+        n = int(rng.integers(1, 14))
+        needs = {i: [int(j) for j in rng.integers(-1, n, int(rng.integers(0, 3))) if j >= 0 and (j < i or rng.random() < 0.4)] for i in range(n)}
+        rows += [(f"c{conv}", f"k{i:02}", i, [f"k{j:02}" for j in x] + ["gone"]) for i, x in needs.items()]
+        level, changed = {}, True
+        if all(j < i for i, x in needs.items() for j in x):
+            level = dict.fromkeys(needs, 0)
+        while changed and len(level) < n:
+            ready = [i for i, x in needs.items() if i not in level and all(j in level for j in x)]
+            level |= {i: max((level[j] for j in needs[i]), default=-1) + 1 for i in ready}
+            changed = bool(ready)
+        for k, i in enumerate(sorted(level, key=lambda i: (level[i], i)), 1):
+            want[f"c{conv}", f"k{i:02}"] = k
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, position long, depends_on array<string>")
+    found = toolcalls.levels(calls, group)
+    got = toolcalls.numbered(calls.join(found, ["conv_id", "call_id"], "left")).collect()
+    assert {(r.conv_id, r.call_id): r.call_order for r in got if r.call_order} == want and len(got) == len(rows) and 0 < len(want) < len(rows)
+
+
+def test_tool_calls_in_a_long_chain_and_without_keys(spark):
+    n = 300
+    calls = spark.createDataFrame([("c", f"k{i}", i, "answer", "{}", [f"k{i + 1}"]) for i in range(n)] + [(None, "k", 1, "answer", "{}", None)] * 2, "conv_id string, call_id string, position long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(None, "k", 1, "x")], "conv_id string, call_id string, position long, content string")
+    toolcalls_group = toolcalls.GROUP
+    rows = toolcalls.levels(calls.filter("conv_id is not null"), n).collect()
+    assert {r.call_id: r.level for r in rows} == {f"k{i}": n - 1 - i for i in range(n)} and toolcalls_group < n
+    few = toolcalls.linked(calls.filter("position < 5"), results, toolcalls.TOOLS).collect()
+    assert sum(r.conv_id is None for r in few) == 2 and not any(r.linked or r.valid for r in few if r.conv_id is None)
+
+
 def test_mixing_lm_is_a_distribution():
     texts = [mixlm.words(t) for t in (b"ab abc ab", b"abc ab", b"ba ab abc")]
     at, n = np.unique(mixlm.places(*mixlm.stream(texts)), return_counts=True)

@@ -2,8 +2,10 @@
 
 Both sides keep, of every window of span - k + 1 consecutive k-gram hashes, the least one (rightmost on ties), so any
 `span` consecutive words that a document shares with an item share a kept hash at the same place. Kept hashes are
-joined; each match is extended word by word, and runs of at least `span` words are hits. An item of fewer words than
-`span` is one window of its own length and is found by the hash of that many words.
+joined; each match is extended to the windows of `span` words around it that the item has anywhere, compared word by
+word, and the runs of words in them are hits. So work goes with the matches, not with how often a passage is repeated
+in an item. An item of fewer words than `span` is one window of its own length and is found by the hash of that many
+words.
 
 The benchmark side of the join is sent to the workers in blocks of at most BLOCK_BYTES of text, and the documents pass
 them one after another within one stage, so neither side is shuffled and a benchmark of any size is done in whole.
@@ -73,23 +75,27 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """A block of the benchmark: words by item, and where each kept hash stands."""
+    """A block of the benchmark: of every item its windows, and which items hold a kept hash."""
 
     def __init__(self, rows: list[tuple[str | None, bytes | None]], span: int = SPAN, k: int = K):
         self.span, self.k = span, min(k, span)
-        self.ids, self.words = [r[0] for r in rows], [words(r[1]) for r in rows]
-        hashes, at = WordHash(), {}
-        for i, w in enumerate(self.words):
+        self.ids = [r[0] for r in rows]
+        hashes, held = WordHash(), {}
+        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of an item: hashes of its windows, in order, where each begins, its words' hashes
+        for i, (_, text) in enumerate(rows):
+            w = words(text)
             h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
             m = min(len(w), span)
+            grams, first = np.unique(gram_hashes(h, m) if m else np.zeros(0, np.uint64), return_index=True)
+            self.windows.append((grams, first, h))
             if m == span:
                 g = gram_hashes(h, self.k)
-                for q in winnowed(g, span - self.k + 1).tolist():
-                    at.setdefault(self.k, {}).setdefault(int(g[q]), []).append((i, q, span))
+                for x in np.unique(g[winnowed(g, span - self.k + 1)]).tolist():
+                    held.setdefault(self.k, {}).setdefault(x, []).append(i)
             elif m:
-                at.setdefault(-m, {}).setdefault(int(gram_hashes(h, m)[0]), []).append((i, 0, m))
+                held.setdefault(-m, {}).setdefault(int(grams[0]), []).append(i)
         #: By gram length (negative: of short items, where all places count), the hashes in order and their items.
-        self.tables = {n: (np.array(sorted(found), np.uint64), found) for n, found in at.items()}
+        self.tables = {n: (np.array(sorted(x), np.uint64), x) for n, x in held.items()}
 
     def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """Of each text, its number of words and its hits (item, first word, end)."""
@@ -98,7 +104,7 @@ class Items:
         flat = [w for s in split for w in s]
         h = np.fromiter(map(_CACHE.__getitem__, flat), np.uint64, len(flat))
         out: list[list[tuple[int, int, int]]] = [[] for _ in split]
-        for n, (known, found) in self.tables.items():
+        for n, (known, held) in self.tables.items():
             grams = gram_hashes(h, abs(n))
             # grams over the end of a text may be kept in place of others, but only in windows that pass the end too
             kept = winnowed(_cut(grams, starts, abs(n)), self.span - n + 1) if n > 0 else np.arange(len(grams))
@@ -106,20 +112,29 @@ class Items:
                 continue
             place = np.minimum(np.searchsorted(known, grams[kept]), len(known) - 1)
             kept = kept[known[place] == grams[kept]]
-            done: dict[tuple[int, int], int] = {}
-            for p, doc in zip(kept.tolist(), (np.searchsorted(starts, kept, side="right") - 1).tolist(), strict=True):
-                lo, hi = int(starts[doc]), int(starts[doc + 1])
-                for item, q, least in found[int(grams[p])]:
-                    if done.get((item, p - q), -1) > p:
-                        continue
-                    theirs, a, b = self.words[item], p, p
-                    while a > lo and a - p + q > 0 and flat[a - 1] == theirs[a - 1 - p + q]:
-                        a -= 1
-                    while b < hi and b - p + q < len(theirs) and flat[b] == theirs[b - p + q]:
-                        b += 1
-                    done[item, p - q] = b
-                    if b - a >= least:
-                        out[doc].append((item, a - lo, b - lo))
+            by: dict[int, list[int]] = {}
+            for p in kept.tolist():
+                for item in held[int(grams[p])]:
+                    by.setdefault(item, []).append(p)
+            size = self.span if n > 0 else -n
+            if by:
+                whole = gram_hashes(h, size)
+            for item, near in by.items():
+                # windows that hold a matched gram, within one text
+                at = np.unique((np.array(near)[:, None] - np.arange(size - abs(n) + 1)).ravel())
+                at = at[(at >= 0) & (at < len(whole))]
+                doc = np.searchsorted(starts, at, side="right") - 1
+                inside = at + size <= starts[doc + 1]
+                at, doc = at[inside], doc[inside]
+                theirs, first, said = self.windows[item]
+                where = np.minimum(np.searchsorted(theirs, whole[at]), len(theirs) - 1)
+                same = (said[first[where][:, None] + np.arange(size)] == h[at[:, None] + np.arange(size)]).all(1)
+                at, doc = at[same], doc[same]
+                if len(at):  # windows that touch are one hit
+                    cut = np.flatnonzero((at[1:] > at[:-1] + size) | (doc[1:] != doc[:-1])) + 1
+                    for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(at)]]).tolist(), strict=True):
+                        d = int(doc[a])
+                        out[d].append((item, int(at[a] - starts[d]), int(at[b - 1] + size - starts[d])))
         return [(len(s), o) for s, o in zip(split, out, strict=True)]
 
 

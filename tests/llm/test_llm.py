@@ -1,4 +1,5 @@
 import gzip
+import time
 import zlib
 
 import numpy as np
@@ -141,6 +142,14 @@ def test_winnowing_against_brute_force(spark):
             assert got[i] == (len(w), len(hit), sorted(names)), i
 
 
+def test_winnowing_of_repeats_is_linear():
+    word, n = b"again ", 20_000
+    items = winnow.Items([("a", word * n), ("b", b"x y " * n), ("c", word * 4)])
+    began = time.process_time()
+    (got,) = items.hits([b"new " + word * n + b"end"])
+    assert got == (n + 2, [(0, 1, n + 1), (2, 1, n + 1)]) and time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_cosine_against_brute_force(spark, block):
     rng = np.random.default_rng(2)

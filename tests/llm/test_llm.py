@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import time
 import zlib
 
@@ -38,19 +40,26 @@ def test_warc_round_trip(spark, tmp_path):
     got = warc.read(spark, path).collect()
     assert len(got) == 7 and all(r.complete for r in got)
     assert sorted(r.record_type for r in got).count("revisit") == 1
+    revisit = next(r for r in got if r.record_type == "revisit")
+    assert revisit.refers_to in {r.record_id for r in got} and ":2:" in revisit.refers_to and len({r.record_id for r in got}) == 7
     assert sorted(len(r.payload or b"") for r in got) == sorted([0, 0, 0, 5, len(big.encode()), len(big.encode()), 0])
 
 
 def test_warc_broken_segments(spark, tmp_path):
-    record = warc.page_records(1, 0, "u", b"z" * 30_000, "d", None) + b"\r\n"
+    record = warc.page_records(1, 0, "u", b"z" * 30_000, hashlib.sha1(b"z" * 30_000).hexdigest(), None) + b"\r\n"
     parts = record.split(b"WARC/1.1\r\n")
     (tmp_path / "a.gz").write_bytes(b"WARC/1.1\r\n".join(parts[:2] + parts[3:]))
     assert [(r.complete, r.payload) for r in warc.read(spark, f"file://{tmp_path}").collect()] == [(False, None)]
+    (tmp_path / "a.gz").write_bytes(record)
+    assert [(r.complete, r.payload) for r in warc.read(spark, f"file://{tmp_path}").collect()] == [(True, b"z" * 30_000)]
+    (tmp_path / "a.gz").write_bytes(warc.page_records(1, 0, "u", b"text", hashlib.sha1(b"other").hexdigest(), None))
+    assert [(r.complete, r.payload) for r in warc.read(spark, f"file://{tmp_path}").collect()] == [(False, None)]
+    assert warc.said_so(b"text", "sha1:" + base64.b32encode(hashlib.sha1(b"text").digest()).decode())
     assert warc.dechunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc" and warc.dechunked(b"5\r\nab") is None
 
 
 def test_warc_plain_and_damaged(spark, tmp_path):
-    one, two = (warc.page_records(i, 0, "u", b"text", "d", None) + b"\r\n" for i in (1, 2))
+    one, two = (warc.page_records(i, 0, "u", b"text", hashlib.sha1(b"text").hexdigest(), None) + b"\r\n" for i in (1, 2))
     (tmp_path / "a.warc").write_bytes(one + b"damaged\r\n" + two)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + b"tail")
     whole = len(list(warc.parse(one)))

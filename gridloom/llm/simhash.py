@@ -6,7 +6,8 @@ other 48 bits on one of four 12-bit blocks, so each distinct fingerprint is deal
 is lost. Within a key's rows a tree is built: codes are sorted by Gray rank, so neighbours share long bit patterns;
 each node holds the bits that all codes below it share and that no node above holds; a query descends from the root,
 adding up differing bits, and whole subtrees go once the sum passes the radius. A task gives a spanning forest of its
-links, never all pairs.
+links, never all pairs. Rows come sorted by key and are indexed in pieces of about ROWS rows, so a task holds its
+largest group at most, not its whole partition.
 
 Nulls and texts without words get fingerprint zero and are linked like any other; a null id stays a row of its own
 with a null component. Repeated ids are one document for linking. Columns other than id and text are ignored.
@@ -135,27 +136,48 @@ def _keys():
     return F.array(*out)
 
 
+#: Rows of whole groups that a task indexes at a time.
+ROWS = 1 << 19
+
+
+def groups_of(batches, rows: int = ROWS):
+    """Arrays of the columns of batches sorted by the first, in pieces of about `rows` rows that hold whole groups of it."""
+    held, n = [], 0
+    for x in batches:
+        parts = tuple(c.to_numpy() for c in x.columns)
+        cut = np.flatnonzero(parts[0][1:] != parts[0][:-1]) + 1
+        if n > rows:
+            # what is held ends where the next group begins: at this batch's start, or at its first change
+            at = 0 if parts[0][0] != held[-1][0][-1] else int(cut[0]) if len(cut) else None
+            if at is not None:
+                held.append(tuple(c[:at] for c in parts))
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, n, parts = [], 0, tuple(c[at:] for c in parts)
+        held.append(parts)
+        n += len(parts[0])
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def links(reps: DataFrame, radius: int = 3) -> DataFrame:
     """reps (fp, rep), fp distinct -> edges (a, b) of reps that span what is linked within the radius, 3 at most."""
     if not 0 <= radius <= 3:
         raise ValueError("the 16 keys hold for a radius of 0 to 3")
 
     def run(batches):
-        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_numpy()) for x in batches]
-        if not parts:
-            return
-        key, fp, rep = (np.concatenate(c) for c in zip(*parts, strict=True))
-        seen, where, times = np.unique(key, return_inverse=True, return_counts=True)
-        keep = times[where] > 1
-        key, fp, rep, found = key[keep], fp[keep].view(np.uint64), rep[keep], Forest()
-        if len(key):
-            for i, j in GrayIndex(key, fp).pairs(radius):
-                found.add(rep[i], rep[j])
+        found = Forest()
+        for key, fp, rep in groups_of(batches):
+            _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+            keep = times[where] > 1
+            key, fp, rep = key[keep], fp[keep].view(np.uint64), rep[keep]
+            if len(key):
+                for i, j in GrayIndex(key, fp).pairs(radius):
+                    found.add(rep[i], rep[j])
         a, b = found.shrink()
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGE)
 
-    return reps.select(F.explode(_keys()).alias("key"), "fp", "rep").repartition("key").mapInArrow(run, EDGE_SQL)
+    return reps.select(F.explode(_keys()).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(run, EDGE_SQL)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ text, and the mean of the labels' probabilities over all its bytes is the docume
 Texts are cut into windows of WINDOW bytes, each read in both directions from a zero state, so work is linear in the
 text and bounded per step; all windows of a whole text count. Training is by backpropagation through time with Adam on
 windows drawn from a bounded sample: QUOTA documents per language at most, those of least hash, WINDOWS windows in all.
+Languages are few: one row of each goes to all workers, which pick by a threshold of the hash, so no language is sorted.
 
 A null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first. Without a
 labelled document every text is `und`. Very long texts are cut over several steps; nothing is truncated. Repeated rows
@@ -109,7 +110,7 @@ class Model:
         for i in range(0, len(doc), ROWS):
             d, at = doc[i : i + ROWS], begin[i : i + ROWS, None] + np.arange(WINDOW)
             there = at < starts[d + 1][:, None]
-            x = np.where(there, flat[np.minimum(at, len(flat) - 1)], 256).T
+            x = np.where(there, flat[np.minimum(at, len(flat) - 1)], np.int16(256)).T
             p = self.positions(np.ascontiguousarray(x))
             p *= there.T[:, :, None]
             np.add.at(sums, d, p.sum(0))
@@ -157,6 +158,19 @@ def strangers(n: int, seed: int = SEED) -> list[bytes]:
     return out
 
 
+def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean loss over x (T, B) bytes of texts with classes y: by all parameters, through time."""
+    kept_a, kept_b = [], []
+    hidden = model.ahead.u.shape[0]
+    h = np.concatenate([model.ahead.states(x, kept_a), model.behind.states(x[::-1], kept_b)[::-1]], axis=2)
+    d = softmax(h @ model.w + model.b)
+    d[:, np.arange(x.shape[1]), y] -= 1
+    d *= (x < 256)[:, :, None] / x.size
+    dh = d @ model.w.T
+    a, b = model.ahead.back(x, kept_a, dh[:, :, :hidden]), model.behind.back(x[::-1], kept_b, dh[::-1, :, hidden:])
+    return [a.byte, a.u, b.byte, b.u, np.einsum("tbh,tbl->hl", h, d), d.sum((0, 1))]
+
+
 def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED, others: list[bytes] | None = None) -> Model:
     """rows: (text, language). The order of rows doesn't matter. others: texts of a class more, which takes probability
     from the languages and is never told."""
@@ -181,14 +195,7 @@ def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEP
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(xs), BATCH)
         x, y = np.ascontiguousarray(xs[pick].T), ys[pick]
-        kept_a, kept_b = [], []
-        h = np.concatenate([model.ahead.states(x, kept_a), model.behind.states(x[::-1], kept_b)[::-1]], axis=2)
-        d = softmax(h @ model.w + model.b)
-        d[:, np.arange(BATCH), y] -= 1
-        d *= (x < 256)[:, :, None] / (WINDOW * BATCH)
-        dh = d @ model.w.T
-        a, b = model.ahead.back(x, kept_a, dh[:, :, :hidden]), model.behind.back(x[::-1], kept_b, dh[::-1, :, hidden:])
-        grads = [a.byte, a.u, b.byte, b.u, np.einsum("tbh,tbl->hl", h, d), d.sum((0, 1))]
+        grads = gradients(model, x, y)
         rate = RATE * (1 - step / (steps + 1)) + 1e-3
         for p, g, m, v in zip(params, grads, mean, square, strict=True):
             g = np.clip(g, -1, 1)
@@ -201,11 +208,14 @@ def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEP
 def sample(docs: DataFrame, quota: int = QUOTA) -> list[tuple[bytes, str]]:
     """(text, lang) of at most quota documents per language, those of least hash. docs: doc_id, text, lang."""
     rows = docs.filter("text is not null and lang is not null and length(text) > 0").withColumn("_h", F.xxhash64(F.col("doc_id"), F.length("text"), F.crc32(F.col("text").cast("binary"))))
-    first = Window.partitionBy("lang", F.pmod("_h", F.lit(256))).orderBy("_h")
-    keys = rows.select("lang", "_h").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= quota)
-    keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= quota).select("_h").distinct()
-    least = written(keys, "least")
-    return [(bytes(r[0]), r[1]) for r in rows.join(F.broadcast(least), "_h", "left_semi").select(F.col("text").cast("binary"), "lang").collect()]  # quota rows a language
+    # hashes under a threshold that lets through a few more of each language than asked for, then the least of these
+    rank = F.pmod("_h", F.lit(1 << 40))
+    share = F.least(F.lit(1.0), F.lit(1.2 * quota + 100) / F.col("count"))
+    bound = rows.groupBy("lang").count().select("lang", (share * float(1 << 40)).cast("long").alias("_upto"))
+    keys = written(rows.select("lang", "_h").join(F.broadcast(bound), "lang").filter(rank <= F.col("_upto")).select("lang", "_h").distinct(), "near")
+    keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "_h"))).filter(F.col("_r") <= quota)
+    least = written(keys.select("lang", "_h"), "least")
+    return [(bytes(r[0]), r[1]) for r in rows.join(F.broadcast(least), ["lang", "_h"], "left_semi").select(F.col("text").cast("binary"), "lang").dropDuplicates(["text", "lang"]).collect()]  # quota rows a language
 
 
 def fitted(docs: DataFrame, quota: int = QUOTA) -> Model:

@@ -1,11 +1,13 @@
 import base64
 import gzip
 import hashlib
+import re
 import time
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from gridloom.llm import common, cosine, langid, mixing, mixlm, simhash, toolcalls, toxicity, urlfilter, warc, winnow
@@ -67,6 +69,32 @@ def test_warc_plain_and_damaged(spark, tmp_path):
     assert got.count(True) == 3 * whole and got.count(False) == 2
 
 
+def brute_fingerprint(text):
+    """As the contract words it."""
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(x.encode(), 42).intdigest() for x in shingles]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    texts = [None, "", " \t\n", "One", "two Words", "É\x0bàB\x1c x", "a b c a b c a b c", *(" ".join(rng.choice(list("abcXYZé"), int(rng.integers(3, 200)))) for _ in range(20))]
+    rows = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fp & 0xFFFFFFFFFFFFFFFF for r in rows} == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+
+
+def test_groups_come_whole():
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(0, 40, 1000))
+    batches = [common.pa.RecordBatch.from_arrays([common.pa.array(key[i : i + 17]), common.pa.array(np.arange(i, min(1000, i + 17)))], names=["k", "v"]) for i in range(0, 1000, 17)]
+    got = list(simhash.groups_of(batches, 50))
+    assert np.concatenate([x[1] for x in got]).tolist() == list(range(1000)) and len(got) > 5
+    ends = [set(x[0].tolist()) for x in got]
+    assert all(not a & b for a, b in zip(ends, ends[1:], strict=False))
+
+
 def test_simhash_links_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
@@ -191,6 +219,57 @@ def test_gru_gradient():
         assert abs((side[0] - side[1]) / 2e-3 - back.u[i, j]) < 2e-2 * max(1, abs(back.u[i, j]))
 
 
+def test_gru_gradients_of_all_parameters_and_pooling():
+    """A step of training against central differences of a loss computed byte by byte."""
+    rng = np.random.default_rng(3)
+    langs, hidden = ["a", "b", "c"], 3
+    model = langid.Model(langs, langid.Gru.new(hidden, rng), langid.Gru.new(hidden, rng), rng.normal(0, 0.5, (2 * hidden, 3)), rng.normal(0, 0.5, 3))
+    for g in (model.ahead, model.behind):
+        g.byte, g.u = g.byte.astype(np.float64), g.u.astype(np.float64)
+
+    def run(g, data):
+        h, out = np.zeros(hidden), []
+        for b in data:
+            gates = g.byte[b, : 2 * hidden] + h @ g.u[:, : 2 * hidden]
+            z, r = (1 / (1 + np.exp(-gates[k * hidden : (k + 1) * hidden])) for k in (0, 1))
+            c = np.tanh(g.byte[b, 2 * hidden :] + (r * h) @ g.u[:, 2 * hidden :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    def probabilities(data):
+        both = zip(run(model.ahead, data), run(model.behind, data[::-1])[::-1], strict=True)
+        logits = [np.concatenate(x) @ model.w + model.b for x in both]
+        return np.array([np.exp(x) / np.exp(x).sum() for x in logits])
+
+    x, y = rng.integers(0, 256, (7, 2)), np.array([0, 2])
+    loss = lambda: -sum(np.log(probabilities(x[:, i].tolist())[:, y[i]]).sum() for i in range(2)) / 14
+    grads = langid.gradients(model, x, y)
+    for p, g in zip((model.ahead.byte, model.ahead.u, model.behind.byte, model.behind.u, model.w, model.b), grads, strict=True):
+        flat, got = p.reshape(-1), g.reshape(-1)
+        for i in rng.choice(np.flatnonzero(got), 6) if np.any(got) else []:
+            was, side = flat[i], []
+            for e in (1e-4, -1e-4):
+                flat[i] = was + e
+                side.append(loss())
+            flat[i] = was
+            assert abs((side[0] - side[1]) / 2e-4 - got[i]) < 1e-4 + 1e-2 * abs(got[i])
+    text = bytes(rng.integers(97, 123, 150).tolist())
+    cut = [probabilities(list(text[i : i + langid.WINDOW])) for i in range(0, 150, langid.WINDOW)]
+    # padding behind the last window's end is read by the backward direction first
+    pad = langid.WINDOW - 150 % langid.WINDOW
+    cut[-1] = probabilities(list(text[-(150 % langid.WINDOW) :]) + [256] * pad)[:-pad]
+    assert np.allclose(model.pooled([text])[0], np.concatenate(cut).mean(0), atol=1e-5)
+
+
+def test_language_sample_is_the_least_hashes(spark):
+    rows = [(i, f"text {i}", g) for i in range(900) for g in ("x", "y") if g == "x" or i < 30] + [(0, "text 0", "x"), (None, None, "x"), (1, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, 50)
+    assert sorted(g for _, g in got) == ["x"] * 50 + ["y"] * 30 and len(set(got)) == 80
+    assert sorted(got) == sorted(langid.sample(docs.repartition(7), 50))
+
+
 def test_language(spark):
     rng = np.random.default_rng(4)
     make = lambda a: " ".join("".join(rng.choice(list(a), 4)) for _ in range(30))

@@ -1,8 +1,8 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for what no rule fits.
 
 Everything runs in the JVM: features and rules are column expressions, the trees are Spark ML's. They are trained from
-labelled URLs: those that a rule fits (or those of a table of labels), TRAIN_ROWS at most, of least md5 of the URL. Of
-a suffix (the host's last label) the features hold the smoothed share of blocked training URLs.
+labelled URLs: those that a rule fits (or those of a table of labels), TRAIN_ROWS different ones at most, of least md5
+of the URL; a URL that many rows have counts once, by its greatest label. Of a suffix (the host's last label) the features hold the smoothed share of blocked training URLs.
 
 A null URL, or one without `://`, has empty host and path; no rule fits it and the trees judge it by its features.
 Without training rows, or with one class only, that class (allow if none) is the method's verdict everywhere. Repeated
@@ -75,8 +75,12 @@ class UrlModel:
     """Suffix rates and trees, fitted on rows (url, host, path, blocked)."""
 
     def __init__(self, labelled: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, depth: int = DEPTH):
-        least = lexical(labelled.orderBy(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), "url").limit(train_rows))
-        train = written(least, "urls")
+        # different URLs under a threshold of their hash that lets through a few more than asked for, then the least of these
+        some = labelled.agg(F.approx_count_distinct("url")).first()[0]
+        rank = F.conv(F.substring(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+        near = labelled.filter(rank <= int(min(1.0, 1.3 * (train_rows + 100) / max(some, 1)) * (1 << 32)))
+        near = near.groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
+        train = written(lexical(near.orderBy(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), "url").limit(train_rows)), "urls")
         n, blocked = train.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
         self.constant = "allow" if not n or not blocked else "block" if blocked == n else None
         self.prior = blocked / n if n else 0.0
@@ -86,9 +90,9 @@ class UrlModel:
         rates = {r[0]: (r[1] + PRIOR * self.prior) / (r[2] + PRIOR) for r in train.groupBy("suffix").agg(F.sum("blocked"), F.count("*")).orderBy("suffix").collect()}
         self.rates = [F.lit(x) for kv in rates.items() for x in kv]
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        ready = self.assembler.transform(self._rated(train)).select("_features", "blocked").coalesce(4).persist()
+        ready = self.assembler.transform(self._rated(train)).select("_features", "blocked")
+        ready = written(ready, "features", 4)
         self.trees = GBTClassifier(featuresCol="_features", labelCol="blocked", predictionCol="_blocked", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)
-        ready.unpersist()
 
     def _rated(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("suffix_rate", F.coalesce(F.try_element_at(F.create_map(*self.rates), F.col("suffix")), F.lit(self.prior)))

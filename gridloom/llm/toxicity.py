@@ -7,9 +7,11 @@ ones by SIGMAS standard errors are fitted, by AdaGrad with an L2 penalty; so lon
 expected severity is the sum of P(grade >= k) over k.
 
 The labels say toxic or not. Toxic training documents are graded 1 to 3 by terciles of how many markers they have
-(fitted features seen in at least eight times the share of toxic documents that of clean ones); clean ones are 0. TRAIN_ROWS labelled documents at most are fitted, those of least hash.
+(fitted features seen in at least eight times the share of toxic documents that of clean ones); clean ones are 0. TRAIN_ROWS labelled documents at most are fitted, those of least hash; their features are found and counted where the
+texts are, and the driver holds the places of the fitted ones only.
 
-A null or empty text has no features and the intercept's severity; without labelled documents all severities are 0.
+A null or empty text has no features and the intercept's severity; without labelled documents of
+both classes nothing is learned and all severities are 0.
 Null labels are no labels; several labels of one id count as its greatest. Whole texts are scored. Repeated rows get
 equal results. Extra columns are ignored.
 """
@@ -77,28 +79,43 @@ def grades(toxic: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1]
 
 
+def places(text: bytes | None) -> np.ndarray:
+    """The places of a text's features, each once."""
+    return np.unique(np.array([f for x in set(words(text)) for f in features(x)], np.int32))
+
+
+def telling(one, both, n1: int, n: int):
+    """Whether features that `one` toxic and `both` training documents have are fitted, and whether they are markers; n1 of n
+    documents are toxic."""
+    share = both / n
+    z = (one / n1 - (both - one) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    return (both >= LEAST_DOCS) & (np.abs(z) >= SIGMAS), one / n1 >= 8 * (both - one) / (n - n1)
+
+
 def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """rows: (text, toxic). The order of rows doesn't matter."""
-    rng = np.random.default_rng(seed)
     rows = sorted(rows)
-    toxic = np.array([bool(y) for _, y in rows])
+    toxic = np.array([bool(y) for _, y in rows], bool)
     if toxic.all() or not toxic.any():
-        return Model({}, np.full(3, -60.0 if len(rows) and toxic.all() else 60.0))
-    # a text's words are let go once its places are known, so the driver holds texts and 32-bit places only
-    has = [np.unique(np.array([f for x in set(words(t)) for f in features(x)], np.int32)) for t, _ in rows]
-    n, n1 = len(rows), int(toxic.sum())
+        return nothing()
+    has = [places(t) for t, _ in rows]
     one, both = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
     for h, t in zip(has, toxic.tolist(), strict=True):
         both[h] += 1
-        if t:
-            one[h] += 1
-    share = both / n
-    z = (one / n1 - (both - one) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    kept = np.flatnonzero((both >= LEAST_DOCS) & (np.abs(z) >= SIGMAS))
-    place = np.full(FEATURES, -1)
-    place[kept] = np.arange(len(kept))
-    sparse = [p[p >= 0] for p in (place[h] for h in has)]
-    marker = (one[kept] / n1 >= 8 * (both[kept] - one[kept]) / (n - n1)).astype(np.int64)
+        one[h] += t
+    fits, marks = telling(one, both, int(toxic.sum()), len(rows))
+    kept = np.flatnonzero(fits)
+    return fit([h[fits[h]] for h in has], toxic, kept, marks[kept], epochs, seed)
+
+
+def nothing() -> Model:
+    return Model({}, np.full(3, 60.0))
+
+
+def fit(has: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, marks: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """has: of each document the places among `kept`, in order; marks: which of these are markers."""
+    rng, n = np.random.default_rng(seed), len(has)
+    sparse, marker = [np.searchsorted(kept, h) for h in has], marks.astype(np.int64)
     y = grades(toxic, np.array([int(marker[x].sum()) for x in sparse]))
     k = int(y.max())
     base = np.array([max(1, int((y >= j).sum())) / (len(y) + 1) for j in range(1, k + 1)])
@@ -109,24 +126,35 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED)
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
             pick = order[i : i + BATCH]
-            flat, row = np.concatenate([sparse[j] for j in pick]), np.repeat(np.arange(len(pick)), [len(sparse[j]) for j in pick])
-            eta, yy = np.bincount(row, w[flat], len(pick)), y[pick]
-            theta = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
-            edge = np.concatenate([[-60.0], theta, [60.0 + theta[-1]]])
-            a, b = sigmoid(eta - edge[yy]), sigmoid(eta - edge[yy + 1])
-            a, b = np.where(yy == 0, 1.0, a), np.where(yy == k, 0.0, b)
-            p = np.maximum(a - b, 1e-9)
-            dt = np.zeros(k + 2)
-            np.add.at(dt, yy, a * (1 - a) / p)
-            np.add.at(dt, yy + 1, -b * (1 - b) / p)
-            dgap = np.cumsum(dt[1:-1][::-1])[::-1].copy()
-            dgap[1:] *= np.exp(gap[1:])
+            dw, dgap = steps(w, gap, [sparse[j] for j in pick], y[pick])
+            dw += L2 * w
             gap_steep += dgap * dgap
             gap -= 0.3 * dgap / np.sqrt(gap_steep)
-            dw = np.bincount(flat, (a + b - 1)[row], len(kept)) + L2 * w
             steep += dw * dw
             w -= RATE * dw / np.sqrt(steep)
-    return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])])))
+    return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), thresholds(gap))
+
+
+def thresholds(gap: np.ndarray) -> np.ndarray:
+    """The ordered thresholds: the first one, and the logarithms of the gaps to the next."""
+    return np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
+
+
+def steps(w: np.ndarray, gap: np.ndarray, sparse: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients, by the weights and the gaps, of the negative log likelihood of documents with grades y."""
+    k = len(gap)
+    flat, row = np.concatenate(sparse), np.repeat(np.arange(len(sparse)), [len(x) for x in sparse])
+    eta, theta = np.bincount(row, w[flat], len(sparse)), thresholds(gap)
+    edge = np.concatenate([[-60.0], theta, [60.0 + theta[-1]]])
+    a, b = sigmoid(eta - edge[y]), sigmoid(eta - edge[y + 1])
+    a, b = np.where(y == 0, 1.0, a), np.where(y == k, 0.0, b)
+    p = np.maximum(a - b, 1e-9)
+    dt = np.zeros(k + 2)
+    np.add.at(dt, y, a * (1 - a) / p)
+    np.add.at(dt, y + 1, -b * (1 - b) / p)
+    dgap = np.cumsum(dt[1:-1][::-1])[::-1].copy()
+    dgap[1:] *= np.exp(gap[1:])
+    return np.bincount(flat, (a + b - 1)[row], len(w)), dgap
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -137,8 +165,31 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     share = min(1.0, 1.2 * train_rows / n + 200 / n) if n else 1.0
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     least = written(known.filter(rank <= int(share * (1 << 30))).orderBy(rank, "doc_id").limit(train_rows), "labelled")
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(least), "doc_id").select(F.col("text").cast("binary"), "toxic").distinct().collect()  # train_rows documents
-    return train([(bytes(t), y) for t, y in rows])
+    def found(batches):
+        for x in batches:
+            has = [places(t) for t in text_column(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), x.column(1)], names=["has", "toxic"])
+
+    prepare(docs.sparkSession)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(least), "doc_id").select("text", "toxic")
+    # equal texts with equal labels count once
+    rows = written(texts.mapInArrow(found, "has array<int>, toxic int").withColumn("h", F.xxhash64("has", "toxic")).dropDuplicates(["h", "has", "toxic"]), "labelled-features")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        return nothing()
+    counts = rows.select(F.explode("has").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("one"), F.count("*").alias("both")).filter(F.col("both") >= LEAST_DOCS)
+    f, one, both = (c.to_numpy() for c in counts.orderBy("f").toArrow().columns)  # FEATURES rows of numbers at most
+    fits, marks = telling(one, both, n1, n)
+    f, marks = f[fits], marks[fits]
+    sent = docs.sparkSession.sparkContext.broadcast(f)
+
+    def kept(batches):
+        for x in batches:
+            has = [np.array(h, np.int32)[np.isin(h, sent.value)] for h in x.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in has], pa.binary()), x.column(1), x.column(2)], names=["has", "toxic", "h"])
+
+    few = rows.mapInArrow(kept, "has binary, toxic int, h long").orderBy("h", "has").toArrow()  # train_rows rows of fitted places
+    return fit([np.frombuffer(h, np.int32) for h in few.column("has").to_pylist()], few.column("toxic").to_numpy() > 0, f, marks)
 
 
 def scorer(model: Model):

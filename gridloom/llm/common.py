@@ -19,17 +19,38 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none."""
+    """The folder that the driver and all executors share. A session on one machine that names none gets a temporary one; on
+    a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def made() -> list[str]:
+    """The scratch tables made so far, the last one last."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, *keep: str) -> None:
+    """Deletes the scratch tables made so far, but for those to keep. What still reads from them fails afterwards, so this is
+    for whoever has written or collected the results."""
+    for path in [p for p in _MADE if p not in keep]:
+        delete(spark, path)
+        _MADE.remove(path)
 
 
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:

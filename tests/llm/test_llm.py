@@ -300,6 +300,114 @@ def test_toxicity():
     assert toxicity.train([]).above([b"x"]).sum() < 1e-9
 
 
+def test_ordinal_gradient_against_the_likelihood():
+    rng = np.random.default_rng(2)
+    w, gap, y = rng.normal(size=6), np.array([0.3, -0.5, 0.2]), np.array([0, 1, 2, 3, 1])
+    sparse = [np.sort(rng.choice(6, 3, replace=False)) for _ in y]
+
+    def loss():
+        theta = [gap[0], gap[0] + np.exp(gap[1]), gap[0] + np.exp(gap[1]) + np.exp(gap[2])]
+        total = 0.0
+        for x, grade in zip(sparse, y, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(-(w[x].sum() - t))) for t in theta), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total
+
+    for at, got in zip((w, gap), toxicity.steps(w, gap, sparse, y), strict=True):
+        for i in range(len(at)):
+            was, side = at[i], []
+            for e in (1e-5, -1e-5):
+                at[i] = was + e
+                side.append(loss())
+            at[i] = was
+            assert abs((side[0] - side[1]) / 2e-5 - got[i]) < 1e-5
+    assert (np.diff(toxicity.thresholds(gap)) > 0).all()
+
+
+def test_toxicity_through_spark(spark):
+    rng = np.random.default_rng(5)
+    clean = [" ".join(f"w{i}" for i in rng.integers(0, 80, 40)) for _ in range(300)]
+    texts = clean + [t + " " + " ".join(rng.choice(["idiot", "scum", "moron"], 2)) for t in clean[:60]] + [None, ""]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, severity double")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(360)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    near = toxicity.train([(t.encode(), int(i >= 300)) for i, t in enumerate(texts[:360])])
+    assert set(model.w) == set(near.w) and model.w
+    kept = {r.doc_id for r in toxicity.accepted(docs, model).collect()}
+    assert {300 + i for i in range(60)} & kept == set() and {*range(300), 360, 361} <= kept
+    # the slow way: a score from the texts' features
+    p = model.above([t.encode() if t else None for t in texts[295:305]])
+    for t, row in zip(texts[295:305], p, strict=True):
+        feats = {f for w in set(toxicity.words(t.encode())) for f in toxicity.features(w)}
+        assert np.allclose(row, [1 / (1 + np.exp(-(sum(model.w.get(f, 0) for f in feats) - th))) for th in model.thresholds])
+    only = toxicity.fitted(docs, labels.filter("toxic = 1"))
+    assert toxicity.accepted(docs, only).count() == len(texts)
+
+
+def brute_budget(leaves, mix):
+    """Budgets by the tree, one share at a time: children that can't use their share are filled, and the rest is shared anew."""
+    def weight(level, name):
+        return getattr(mix, level).get(name, mix.other)
+
+    def pour(budget, children):
+        open_, out = dict(children), {}
+        while True:
+            total = sum(w for _, w in open_.values())
+            short = {k for k, (cap, w) in open_.items() if cap * total <= budget * w}
+            if not short:
+                return out | {k: budget * w // total for k, (cap, w) in open_.items()}
+            for k in short:
+                out[k] = open_.pop(k)[0]
+                budget -= out[k]
+            if not open_:
+                return out
+
+    def down(budget, rows, levels):
+        if not levels:
+            return {rows[0][0]: budget}
+        names = sorted({x[0][3 - len(levels)] for x in rows})
+        part = {n: [x for x in rows if x[0][3 - len(levels)] == n] for n in names}
+        shares = pour(budget, {n: (sum(c for _, c in part[n]), weight(levels[0], n)) for n in names})
+        return {k: v for n in names for k, v in down(shares[n], part[n], levels[1:]).items()}
+
+    caps = [(k, t * mix.max_epochs) for k, t in leaves.items()]
+    return down(sum(leaves.values()) * mix.budget_percent // 100, caps, list(mixing.LEVELS))
+
+
+def test_budgets_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    for percent in (10, 60, 150, 200):
+        mix = mixing.Mix(budget_percent=percent)
+        leaves = {(d, g, s): int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for d in "012" for g in ("en", "de", "xx") for s in ("src0", "src1") if rng.random() < 0.8}
+        df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens long")
+        got = {(r.domain, r.lang, r.source): r.allotment for r in mixing.allotments(df, mix).collect()}
+        assert got == brute_budget(leaves, mix)
+
+
+def test_url_trees_with_both_classes(spark):
+    rows = [(i, f"http://h{i % 7}.net/a/{'x' * (i % 5)}" if i % 2 else f"https://safe{i}.org/fr/page?id={i}&n={i * 7}#top") for i in range(600)]
+    rows += [(1000 + i, f"http://h{i}.info/a/xx") for i in range(20)] + [(2000 + i, f"https://safe{i}.info/fr/page?id={i}&n=1#top") for i in range(20)] + [(3000, None)]
+    rows += [(5000 + i, "http://hot.net/a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.filtered(docs, train_rows=300).collect()}
+    assert len(got) == len(rows)
+    for i, url in rows:
+        host, path = (url.split("://")[1].split("/")[0], "/" + re.split("[?#]", url.split("://")[1].split("/", 1)[1])[0]) if url else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, max(fits)[1] if fits else None)
+        assert not fits or got[i].verdict == max(fits)[2]
+    assert {got[1000 + i].verdict for i in range(20)} == {"block"} and {got[2000 + i].verdict for i in range(20)} == {"allow"}
+
+
+def test_scratch_is_released(spark):
+    kept, gone = common.written(spark.range(3).toDF("a"), "kept"), common.written(spark.range(3).toDF("a"), "gone")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    common.release(spark, *[p for p in common._MADE if p.rsplit("/", 1)[1] in path])
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        gone.count()
+
+
 def test_mixing_empty_and_nulls(spark):
     kind = "doc_id long, text string, lang string, source string, n_tokens int"
     assert mixing.mixed(spark.createDataFrame([], kind)).count() == 0

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import constants as K
 
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
 def strip(c: Column) -> Column:
     """Unicode-aware strip; null gives the empty string."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), _STRIP, "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(K.SPACES))
 
 
 def is_empty(c: Column) -> Column:
@@ -43,8 +40,8 @@ def cell_type(c: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    v = F.regexp_replace(strip(c), "[\\x00\\uFEFF]", "")
-    v = F.regexp_replace(v, r"^'(?=[=+@\-])", "")
+    v = F.translate(strip(c), "\0\ufeff", "")
+    v = F.when(v.startswith("'") & F.substring(v, 2, 1).isin("=", "+", "@", "-"), F.substring(v, 2, 1 << 30)).otherwise(v)
     return F.when(v.isin(K.MISSING_MARKERS), "").otherwise(v)
 
 

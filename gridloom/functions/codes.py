@@ -22,7 +22,9 @@ _MARKERS = frozenset(K.MISSING_MARKERS)
 _DATE = re.compile(K.DATE_ANYWHERE)
 _MONTH, _PERIOD = re.compile(K.MONTH_OR_QUARTER, re.I), re.compile(K.PERIOD_TOKEN, re.I)
 _UNITS = re.compile(K.NUMBER_DRESS)
-_WHOLE = re.compile(r"[+-]?\d+")
+_WHOLE, _PLAIN = re.compile(r"[+-]?\d+"), re.compile(r"[+-]?[0-9]+(?:\.[0-9]*)?")
+#: No label is longer, however many blanks stand within it.
+LONGEST_LABEL = 40
 _DAY, _MONEY, _EURO = (re.compile(p) for p in (K.DAY, K.MONEY, K.EURO))
 
 
@@ -78,20 +80,26 @@ def normal(v: str) -> str:
 
 
 def code(v: str | None) -> int:
+    """The class of a cell and what else is asked of it. Plain numbers, and words by their first character, are told
+    without the patterns."""
     v = v or ""
     core = v.strip()
     if core in _MARKERS:
         # a marker's normal form is blank
         return EMPTY
+    if _PLAIN.fullmatch(core):
+        return NUMERIC | NORMAL_FILLED | NORMAL_NUMBER | (0 if "." in core else WHOLE) | (LABEL if len(core) == 4 and year_of(core) else 0)
+    lead = core[0]
+    word = "a" <= lead <= "z" or "A" <= lead <= "Z"
     found = TEXT
-    if is_numeric(core):
+    if (not word or lead in "iInN") and is_numeric(core):
         found = NUMERIC | (WHOLE if _WHOLE.fullmatch(whole_part(core)) else 0)
     elif _DATE.search(core):
         found = DATE
-    form = normal(v)
+    form = clean(v) if word else normal(v)
     found |= NORMAL_FILLED if form else 0
-    found |= NORMAL_NUMBER if form and is_numeric(form) else 0
-    return found | (LABEL if is_label(core) else 0)
+    found |= NORMAL_NUMBER if form and (not word or lead in "iInN") and is_numeric(form) else 0
+    return found | (LABEL if len(core) <= LONGEST_LABEL and is_label(core) else 0)
 
 
 def coded(values: pa.Array) -> np.ndarray:

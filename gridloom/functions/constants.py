@@ -16,6 +16,9 @@ MULTIVALUE_DELIMITERS = [",", ";", "/", "|"]
 # Field delimiters of a text grid, in the order in which ties are settled.
 GRID_DELIMITERS = [",", ";", "\t", "|"]
 
+# White space at the ends of a cell.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Patterns of dates, labels and numbers.
 DATE_ANYWHERE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{8}"
 MONTHS = "jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t)?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?"

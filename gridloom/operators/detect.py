@@ -128,7 +128,7 @@ def by_rules(s: Sheet) -> Region:
 
 def by_entropy(s: Sheet) -> Region:
     """Header: where the entropy of cell classes and the classes themselves change most towards the next row."""
-    share = np.stack([(s.kind == k).sum(1) for k in (NUMERIC, DATE, TEXT)], 1) / np.maximum(s.count, 1)[:, None]
+    share = np.stack([(s.kind[:21] == k).sum(1) for k in (NUMERIC, DATE, TEXT)], 1) / np.maximum(s.count[:21], 1)[:, None]
     entropy = -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(1)
     header, most = 0, -1.0
     for r in range(min(s.rows - 1, 20)):
@@ -188,16 +188,17 @@ def by_window(s: Sheet) -> Region:
 def by_voting(s: Sheet) -> Region:
     """Rows vote by how well their cells agree with the commonest class of each column."""
     header = s.first_textual(0, 20, 0)
-    body = s.kind[header + 1 :]
+    live = np.flatnonzero(s.count[header + 1 :]) + header + 1
+    body = s.kind[live]
     tally = np.stack([(body == k).sum(0) for k in (NUMERIC, DATE, TEXT)])
     met = np.stack([np.where((body == k).any(0), (body == k).argmax(0), len(body)) for k in (NUMERIC, DATE, TEXT)]) if len(body) else tally
     # most often, then first met
     rank = tally.astype(np.int64) * (len(body) + 1) + len(body) - met
     chief = np.where(tally.sum(0) > 0, rank.argmax(0) + 1, EMPTY)
-    asked = (chief != EMPTY)[None] & (np.arange(s.columns)[None] < s.length[header + 1 :, None])
+    asked = (chief != EMPTY)[None] & (np.arange(s.columns)[None] < s.length[live, None])
     near = (np.isin(body, (NUMERIC, DATE)) & np.isin(chief, (NUMERIC, DATE))[None]) * 0.8
     votes = np.where(body == EMPTY, 0.5, np.where(body == chief[None], 1.0, near)) * asked
-    good = np.flatnonzero((s.rate[header + 1 :] > 0) & (votes.sum(1) / np.maximum(asked.sum(1), 1) >= 0.5 - 1e-12)) + header + 1
+    good = live[votes.sum(1) / np.maximum(asked.sum(1), 1) >= 0.5 - 1e-12]
     if not len(good):
         return Region(header, header + 1, 0, s.rows - 1, s.columns)
     typed = np.flatnonzero(chief != EMPTY)
@@ -216,12 +217,14 @@ def quality(s: Sheet, region: Region) -> float:
     if high <= 0 or wide <= 0:
         return 0.0
     within = lambda r: s.filled[r, left:right].sum()
-    body = s.kind[top : bottom + 1, left:right]
+    live = np.flatnonzero(s.count[top : bottom + 1])
+    body = s.kind[top + live, left:right]
     tally = np.stack([(body == k).sum(0) for k in (NUMERIC, DATE, TEXT)])
     total = tally.sum(0)
     agree = np.where(total > 0, tally.max(0) / np.maximum(total, 1), 0.5)
     agree = np.concatenate([agree, np.full(wide - len(agree), 0.5)])
-    fills = (body != EMPTY).sum(1)
+    fills = np.zeros(min(high, max(0, s.rows - top)), np.int64)
+    fills[live] = (body != EMPTY).sum(1)
     even = 1 - min(fills.var() / max(wide * wide / 4, 1), 1) if len(fills) > 1 else 1.0
     titled = 0.5
     if 0 <= header < s.rows:
@@ -353,29 +356,34 @@ def _packed(cells: pa.Array, codes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
 
 
+CODED = "source string, r long, width int, cells array<string>, codes binary"
+
+
+def code_batches(batches):
+    """A mapInArrow function over (source, r, cells): those rows that hold anything, and each batch's last and widest, with
+    their width and the codes of their cells."""
+    for x in batches:
+        cells, at = x.column(2), x.column(1).to_numpy()
+        codes = _packed(cells, C.coded(cells.flatten()))
+        width = pc.fill_null(pc.list_value_length(cells), 0)
+        n = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        filled = np.concatenate([[0], np.cumsum(np.frombuffer(codes.buffers()[2] or b"", np.uint8)[: ends[-1]] & 3 != EMPTY)])
+        keep = filled[ends[1:]] > filled[ends[:-1]]
+        source = pc.dictionary_encode(x.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        for of in (at, width.to_numpy(zero_copy_only=False)):
+            most = np.full(int(source.max(initial=0)) + 1, -1, np.int64)
+            np.maximum.at(most, source, of)
+            keep |= of == most[source]
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), width.cast(pa.int32()), cells, codes], names=["source", "r", "width", "cells", "codes"]).filter(pa.array(keep))
+
+
 def coded_rows(sheets: DataFrame) -> DataFrame:
     """(source, r, width, cells, codes) of the rows that hold anything, and of each batch's last and widest row; what is
     coded already is taken as it is."""
     if "codes" in sheets.columns:
         return sheets.select("source", "r", "width", "cells", "codes")
-
-    def run(batches):
-        for x in batches:
-            cells, at = x.column(2), x.column(1).to_numpy()
-            codes = _packed(cells, C.coded(cells.flatten()))
-            width = pc.fill_null(pc.list_value_length(cells), 0)
-            n = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            filled = np.concatenate([[0], np.cumsum(np.frombuffer(codes.buffers()[2] or b"", np.uint8)[: ends[-1]] & 3 != EMPTY)])
-            keep = filled[ends[1:]] > filled[ends[:-1]]
-            source = pc.dictionary_encode(x.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            for of in (at, width.to_numpy(zero_copy_only=False)):
-                most = np.full(int(source.max(initial=0)) + 1, -1, np.int64)
-                np.maximum.at(most, source, of)
-                keep |= of == most[source]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), width.cast(pa.int32()), cells, codes], names=["source", "r", "width", "cells", "codes"]).filter(pa.array(keep))
-
-    return sheets.selectExpr("source", "cast(r as long) as r", "cells").mapInArrow(run, "source string, r long, width int, cells array<string>, codes binary")
+    return sheets.selectExpr("source", "cast(r as long) as r", "cells").mapInArrow(code_batches, CODED)
 
 
 def per_sheet(sheets: DataFrame, judge: Callable[[Sheet], list[tuple]], fields: list[tuple[str, pa.DataType]], sql: str) -> DataFrame:

@@ -49,10 +49,10 @@ class Pipeline:
     def detect(self) -> Pipeline:
         self.close()
         if isinstance(self.source, DataFrame):
-            rows = G.grid_of(self.source, self.order).select(F.lit("dataframe").alias("source"), "r", "cells")
+            rows = coded_rows(G.grid_of(self.source, self.order).select(F.lit("dataframe").alias("source"), "r", "cells"))
         else:
-            rows = files.read(self.spark, self.source, self.sheet_name)
-        self._grid, self._place = store.kept(coded_rows(rows))
+            rows = files.coded(self.spark, self.source, self.sheet_name)
+        self._grid, self._place = store.kept(rows)
         self.models = M.models(self._grid, self.strategy).orderBy("source", "table_no").collect()  # one row per table
         return self._say(f"Detection: {len(self.models)} table(s) found (strategy={self.strategy or 'auto'})")
 

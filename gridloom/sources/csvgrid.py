@@ -8,7 +8,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.functions.constants import GRID_DELIMITERS
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "latin-1")
+GRID, ROWS = "source string, r long, cells array<string>", 10_000
 _KIND = pa.schema([("source", pa.string()), ("r", pa.int64()), ("cells", pa.list_(pa.string()))])
 
 
@@ -59,20 +60,48 @@ def rows(text: str, delimiter: str | None = None) -> Iterator[list[str]]:
     return (re.split(delimiter, x.strip()) if x.strip() else [] for x in text.split("\n"))
 
 
-def parsed(files: DataFrame, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """files (source, content binary) -> (source, r, cells), r from 0. A file is decoded in one task; its rows leave it in
+def batches_of(source: str, found: Iterator[tuple[int, list[str]]], blanks: bool = True) -> Iterator[pa.RecordBatch]:
+    """Record batches of (row, cells); without blanks, rows of empty cells go but for the last one and any that is wider
+    than all before."""
+    last, wide, part, held = -1, 0, [], None
+
+    def out():
+        ends = pa.array(list(accumulate((len(x) for _, x in part), initial=0)), pa.int32())
+        cells = pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x for _, x in part)), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([source] * len(part), pa.string()), pa.array([r for r, _ in part], pa.int64()), cells], schema=_KIND)
+
+    for r, cells in found:
+        last = r
+        if not blanks and not any(cells) and len(cells) <= wide:
+            held = cells
+            continue
+        held, wide = None, max(wide, len(cells))
+        part.append((r, cells))
+        if len(part) >= ROWS:
+            yield out()
+            part = []
+    if held is not None:
+        part.append((last, held))
+    if part:
+        yield out()
+
+
+def grids(delimiter: str | None = None, encoding: str | None = None, blanks: bool = True):
+    """A mapInArrow function over (source, content): (source, r, cells). A file is decoded in one task; its rows leave it in
     batches."""
 
     def run(batches):
         for x in batches:
             for source, content in zip(x.column(0).to_pylist(), x.column(1), strict=True):
                 raw = content.as_py() or b""
-                found, i = rows(raw.decode(encoding) if encoding else decode(raw), delimiter), 0
-                while part := list(islice(found, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=_KIND)
-                    i += len(part)
+                yield from batches_of(source, enumerate(rows(raw.decode(encoding) if encoding else decode(raw), delimiter)), blanks)
 
-    return files.select("source", "content").mapInArrow(run, "source string, r long, cells array<string>")
+    return run
+
+
+def parsed(files: DataFrame, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """files (source, content binary) -> (source, r, cells), r from 0."""
+    return files.select("source", "content").mapInArrow(grids(delimiter, encoding), GRID)
 
 
 def read(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:

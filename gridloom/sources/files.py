@@ -31,13 +31,29 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str, sheet: str | int | None = None, delimiter: str | None = None) -> DataFrame:
     """(source, r, cells); of each workbook the sheet asked for, else the one that is chosen."""
-    files = contents(spark, path)
-    if ending(path) in BOOKS:
-        return xlsx.parsed(files, sheet)
-    if ending(path) in TEXT:
-        return csvgrid.parsed(files, delimiter)
+    text, books = _by_kind(spark, path)
+    parts = [f.mapInArrow(run, csvgrid.GRID) for f, run in ((text, csvgrid.grids(delimiter)), (books, xlsx.grids(sheet))) if f is not None]
+    return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def _by_kind(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Text files and workbooks, None where the path can't hold any."""
+    found, kind = contents(spark, path), ending(path)
+    if kind:
+        return (found, None) if kind in TEXT else (None, found)
     book = F.lower("source").rlike(r"\.xlsx$")
-    return csvgrid.parsed(files.filter(~book), delimiter).union(xlsx.parsed(files.filter(book), sheet))
+    return found.filter(~book), found.filter(book)
+
+
+def coded(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
+    """(source, r, width, cells, codes) of all files, decoded and coded in one pass, blank rows left out (see
+    detect.coded_rows)."""
+    from gridloom.operators.detect import CODED, code_batches
+
+    text, books = _by_kind(spark, path)
+    runs = ((text, csvgrid.grids(blanks=False)), (books, xlsx.grids(sheet)))
+    parts = [f.mapInArrow(lambda batches, run=run: code_batches(run(batches)), CODED) for f, run in runs if f is not None]
+    return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

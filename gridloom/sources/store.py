@@ -20,10 +20,14 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-grid-{uuid.uuid4().hex}"
 
 
+#: Rows in one file of a kept table, so that what comes from one file of a source is read again by many tasks.
+ROWS = 1 << 12
+
+
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """df from a written table, and the table's folder."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

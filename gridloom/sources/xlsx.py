@@ -18,6 +18,8 @@ from xml.sax.saxutils import escape, quoteattr
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.sources import csvgrid
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # Number formats that are dates without saying so in a format code.
@@ -233,24 +235,23 @@ def _dense(cells: dict[int, str], width: int) -> list[str]:
     return [cells.get(c, "") for c in range(max(width, max(cells) + 1))] if cells else []
 
 
-def parsed(files: DataFrame, sheet: str | int | None = None, fill_merged: bool = False, strict: bool = False) -> DataFrame:
-    """files (source, content binary) -> (source, r, cells) of one sheet of each workbook."""
-    kind = pa.schema([("source", pa.string()), ("r", pa.int64()), ("cells", pa.list_(pa.string()))])
+def grids(sheet: str | int | None = None, fill_merged: bool = False, strict: bool = False):
+    """A mapInArrow function over (source, content): (source, r, cells) of one sheet of each workbook."""
 
     def run(batches):
         for x in batches:
             for source, content in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                book, part = Workbook(content.as_py()), []
+                book = Workbook(content.as_py())
                 name = book.strictly(sheet) if strict else book.chosen(sheet)
-                for r, cells in book.grid(name, fill_merged) if name is not None else []:
-                    part.append((source, r, cells))
-                    if len(part) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kind, strict=True)], schema=kind)
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kind, strict=True)], schema=kind)
-
-    return files.select("source", "content").mapInArrow(run, "source string, r long, cells array<string>")
+                if name is not None:
+                    yield from csvgrid.batches_of(source, book.grid(name, fill_merged), blanks=False)
+
+    return run
+
+
+def parsed(files: DataFrame, sheet: str | int | None = None, fill_merged: bool = False, strict: bool = False) -> DataFrame:
+    """files (source, content binary) -> (source, r, cells); rows without content go but for the last."""
+    return files.select("source", "content").mapInArrow(grids(sheet, fill_merged, strict), csvgrid.GRID)
 
 
 def sheets(files: DataFrame) -> DataFrame:

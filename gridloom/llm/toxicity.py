@@ -127,7 +127,7 @@ def fit(has: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, marks: np.nd
         for i in range(0, n, BATCH):
             pick = order[i : i + BATCH]
             dw, dgap = steps(w, gap, [sparse[j] for j in pick], y[pick])
-            dw += L2 * w
+            dw = dw + L2 * w
             gap_steep += dgap * dgap
             gap -= 0.3 * dgap / np.sqrt(gap_steep)
             steep += dw * dw

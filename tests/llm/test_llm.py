@@ -298,6 +298,8 @@ def test_toxicity():
     p = model.above([b"w1 w2 scum idiot", b"w1 w2 " * 5000, None, b""])
     assert p[0, 0] > 0.5 > p[1:, 0].max() and (np.diff(p, axis=1) <= 0).all()
     assert toxicity.train([]).above([b"x"]).sum() < 1e-9
+    # batches without any fitted feature
+    assert toxicity.train([(b"a b", 0)] * 90 + [(b"a b", 1)] * 9).above([b"a"])[0, 0] < 0.5
 
 
 def test_ordinal_gradient_against_the_likelihood():

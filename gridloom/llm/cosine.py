@@ -5,6 +5,10 @@ u and v stand on either side of the hyperplane midway between a and c, and the t
 most; so one of them is within d / 2 of it. Every vector is at home in the cell of its nearest centroid and visits all
 cells whose hyperplane is within d / 2, so with `margin` at its default no link is lost.
 
+Vectors without clusters can't be told apart by cells: of 51,282 random ones in 64 dimensions each visits 62 % of 29
+cells, and still 26 % of 960, so finer cells compare fewer pairs but send every vector to more places. Cells and blocks
+are coarse, as what is sent weighs more than products.
+
 Equal vectors are one weighted vector from the start. A cell's home rows are dealt into blocks of about `block` rows;
 home rows and visitors of the cell pass each block in batches, so a task holds one block and one batch however large
 the cell. Tasks give link counts and a spanning forest, never pairs.
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import Forest, components, prepare, written
 
-THRESHOLD, TRAIN_ROWS, BLOCK, SEED = 0.9, 20_000, 2048, 7
+THRESHOLD, TRAIN_ROWS, BLOCK, SEED = 0.9, 20_000, 8192, 7
+#: Cells are the square root of the number of vectors by this.
+COARSE = 16
 _HIT = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
@@ -95,7 +101,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     count, longest = reps.agg(F.count("*"), F.max(F.length("unit"))).first()
     dim = int(longest or 8) // 8
     sample = [bytes(r[0]) for r in reps.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(train_rows).collect()]
-    k = max(1, math.ceil(math.sqrt(count) / 8))
+    k = max(1, math.ceil(math.sqrt(count) / COARSE))
     centres = spherical_kmeans(matrix(pa.array(sample, pa.binary()), dim), k) if sample else np.ones((1, dim))
     margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 if margin is None else margin
     sent = spark.sparkContext.broadcast(Cells(centres, margin))

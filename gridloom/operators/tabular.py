@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,26 +175,42 @@ def atomize_by_row(df: DataFrame, columns: str | list[str] | None = None, delimi
 def multivalue_columns(df: DataFrame, candidates: list[str] | None = None, min_overlap: float = 0.3, min_multi_ratio: float = 0.1) -> DataFrame:
     """(column, delimiter, confidence) of columns whose cells hold lists, most confident first.
 
-    All columns and delimiters are judged in one plan: cells are split and exploded once per delimiter, atoms are
-    counted with partial aggregation, and two small tables of one row per column and delimiter remain.
+    One aggregation judges all columns and delimiters by how many cells split and into how much; of the columns and
+    delimiters that pass, a row each, the cells are then exploded and their parts counted.
     """
     candidates = candidates or K.MULTIVALUE_DELIMITERS
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), q(c).cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("e")).select("e.*").filter("v is not null")
-    tried = long.crossJoin(F.broadcast(df.sparkSession.createDataFrame([Row(ord=i, delimiter=d) for i, d in enumerate(candidates)], "ord int, delimiter string")))  # a row per delimiter
-    atoms = F.filter(F.transform(F.split("v", F.concat(F.lit(r"\Q"), F.col("delimiter"), F.lit(r"\E"))), cells.strip), lambda x: x != "")
-    key = ["pos", "column", "ord", "delimiter"]
-    split = tried.select(*key, "v", atoms.alias("atoms")).withColumn("multi", F.size("atoms") > 1)
-    words = F.aggregate("atoms", F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")))
-    per = split.groupBy(*key).agg(
-        F.count("*").alias("n"), F.avg(F.col("multi").cast("double")).alias("multi_ratio"), F.avg(F.when(F.col("multi"), F.size("atoms"))).alias("length"),
-        F.try_divide(F.sum(F.when(F.col("multi"), words)), F.sum(F.when(F.col("multi"), F.size("atoms")))).alias("words"), F.avg(cells.strip(F.col("v")).rlike("(?i)" + K.SINGLE_DATE).cast("double")).alias("dates"),
-    )
-    each = split.select(*key, "multi", F.explode("atoms").alias("atom")).groupBy(*key, "atom").agg(F.count("*").alias("n"), F.max("multi").alias("in_multi"), F.max(~F.col("multi")).alias("in_single"))
-    overlap = each.filter("in_multi").groupBy(*key).agg(F.avg((F.col("in_single") | (F.col("n") > 1)).cast("double")).alias("overlap"))
-    listed = F.when((F.col("multi_ratio") >= 0.5) & (F.col("length") >= 3) & (F.col("words") <= 4), F.col("multi_ratio")).otherwise(0.0)
-    scored = per.join(overlap, key).filter((F.col("n") >= 3) & (F.col("dates") < 0.8) & (F.col("multi_ratio") >= min_multi_ratio)).withColumn("score", F.greatest("overlap", listed))
-    best = scored.withColumn("_r", F.row_number().over(W.partitionBy("pos").orderBy(F.desc("score"), "ord"))).filter((F.col("_r") == 1) & (F.col("score") >= min_overlap))
-    return best.orderBy(F.desc("score"), "pos").select("column", "delimiter", F.round("score", 3).alias("confidence"))
+    entries = [F.struct(F.lit(i).alias("pos"), q(c).cast("string").alias("v")) for i, c in enumerate(df.columns)]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("v is not null")
+    split = [parts(F.col("v"), d) for d in candidates]
+    words = lambda atoms: F.aggregate(atoms, F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")))
+    asked = [F.count("*").alias("n"), F.avg(cells.strip(F.col("v")).rlike("(?i)" + K.SINGLE_DATE).cast("double")).alias("dates")]
+    for i, (d, atoms) in enumerate(zip(candidates, split, strict=True)):
+        multi = F.col("v").contains(d) & (F.size(atoms) > 1)
+        n = F.when(multi, F.size(atoms))
+        asked += [F.count_if(multi).alias(f"m{i}"), F.sum(n).alias(f"a{i}"), F.sum(F.when(multi, words(atoms))).alias(f"w{i}")]
+    passed: dict[tuple[int, int], float] = {}
+    for r in long.groupBy("pos").agg(*asked).collect():  # a row per column
+        if r.n >= 3 and r.dates < 0.8:
+            for i in range(len(candidates)):
+                ratio = r[f"m{i}"] / r.n
+                if ratio >= min_multi_ratio and ratio > 0:
+                    listed = ratio >= 0.5 and r[f"a{i}"] >= 3 * r[f"m{i}"] and r[f"w{i}"] <= 4 * r[f"a{i}"]
+                    passed[r.pos, i] = ratio if listed else 0.0
+    schema = "column string, delimiter string, confidence double"
+    if not passed:
+        return df.sparkSession.createDataFrame([], schema)
+    tried = [F.when(F.col("pos").isin([p for p, k in passed if k == i]), F.struct(F.lit(i).alias("ord"), atoms.alias("atoms"))) for i, atoms in enumerate(split) if any(k == i for _, k in passed)]
+    each = long.filter(F.col("pos").isin(sorted({p for p, _ in passed}))).select("pos", F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("t"))
+    each = each.select("pos", "t.ord", (F.size("t.atoms") > 1).alias("multi"), F.explode("t.atoms").alias("atom"))
+    each = each.groupBy("pos", "ord", "atom").agg(F.count("*").alias("n"), F.max("multi").alias("in_multi"), F.max(~F.col("multi")).alias("in_single"))
+    overlap = each.filter("in_multi").groupBy("pos", "ord").agg(F.avg((F.col("in_single") | (F.col("n") > 1)).cast("double"))).collect()  # a row per column and delimiter
+    best: dict[int, tuple[float, int]] = {}
+    for pos, i, share in sorted(overlap):
+        score = max(share, passed[pos, i])
+        if score >= min_overlap and score > best.get(pos, (0.0, 0))[0]:
+            best[pos] = (score, i)
+    rows = [(df.columns[p], candidates[i], round(score, 3)) for p, (score, i) in sorted(best.items(), key=lambda x: (-x[1][0], x[0]))]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def melt(df: DataFrame, stubs: list[str], levels: list[list[str | None]], vertical_names: list[str] | None = None, horizontal_names: list[str] | None = None, value_name: str = "value") -> DataFrame:

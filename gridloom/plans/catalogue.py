@@ -54,6 +54,15 @@ def _sql_clean(v: str) -> str:
     return f"(case when {t} in {_MARKERS} then '' else {t} end)"
 
 
+def _sql_year(v: str) -> str:
+    core = f"replace(trim({v}), ',', '')"
+    return f"case when regexp_matches({core}, '^[0-9]{{4}}$') and cast({core} as int) between 1900 and 2100 then cast({core} as int) end"
+
+
+def _sql_label(v: str) -> str:
+    return f"trim({v}) <> '' and (({_sql_year(v)}) is not null or regexp_matches(trim({v}), '(?i){K.MONTH_OR_QUARTER}') or regexp_matches(trim({v}), '(?i){K.PERIOD_TOKEN}'))"
+
+
 def _sql_summary(cells_: str) -> str:
     line = f"lower(array_to_string({cells_}, ' '))"
     return "(" + " or ".join(f"contains({line}, '{k}')" for k in K.SUMMARY_KEYWORDS) + ")"
@@ -250,7 +259,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _own_sql() -> dict[str, str]:
-    year = "case when regexp_matches(replace(trim(v), ',', ''), '^[0-9]{4}$') and cast(replace(trim(v), ',', '') as int) between 1900 and 2100 then cast(replace(trim(v), ',', '') as int) end"
     clean = _sql_clean("v")
     filled = "len(list_filter(k, lambda x: x <> 'empty'))"
     many = lambda k: f"cast(len(list_filter(k, lambda x: x = '{k}')) as int)"
@@ -258,7 +266,7 @@ def _own_sql() -> dict[str, str]:
     return {
         "cell_types": f"with {_VALUES} select v, {_sql_type('v')} as kind from values_",
         "clean_cells": f"with {_VALUES} select v, {clean} as cleaned from values_",
-        "label_tokens": f"with {_VALUES} select v, trim(v) <> '' and (({year}) is not null or regexp_matches(trim(v), '(?i){K.MONTH_OR_QUARTER}') or regexp_matches(trim(v), '(?i){K.PERIOD_TOKEN}')) as is_label, regexp_matches(v, '(?i){K.ID_HINT}') as hints_id, {year} as year from values_",
+        "label_tokens": f"with {_VALUES} select v, {_sql_label('v')} as is_label, regexp_matches(v, '(?i){K.ID_HINT}') as hints_id, {_sql_year('v')} as year from values_",
         "normalise_values": rf"""with {_VALUES}, c as (select v, {clean} as x from values_)
             select v, case when regexp_matches(x, '^\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{4}}$') then regexp_extract(x, '^(\d{{1,2}})[/\-.](\d{{1,2}})[/\-.](\d{{4}})$', 3) || '-' || lpad(regexp_extract(x, '^(\d{{1,2}})', 1), 2, '0') || '-' || lpad(regexp_extract(x, '^\d{{1,2}}[/\-.](\d{{1,2}})', 1), 2, '0')
                  when regexp_matches(x, '^[\$₩€£]\s*[\d,]+\.?\d*$') then replace(regexp_extract(x, '^[\$₩€£]\s*([\d,]+\.?\d*)$', 1), ',', '')

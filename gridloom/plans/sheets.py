@@ -21,7 +21,7 @@ from gridloom.operators import grid as G
 from gridloom.operators import model as M
 from gridloom.operators import quality as Q
 from gridloom.operators import tabular as T
-from gridloom.plans.catalogue import _LISTED, _VALUES, _listed, _sql_numeric, _sql_summary, _sql_type, _t, _values
+from gridloom.plans.catalogue import _LISTED, _VALUES, _listed, _sql_clean, _sql_label, _sql_summary, _sql_type, _sql_year, _t, _values
 from gridloom.sources import audit, csvgrid, files, store, xlsx
 
 HEAD = ["key", "name", "segment", "balance"]
@@ -186,6 +186,15 @@ def cell_codes(spark, sf):
     return _values(spark, sf).select("v").mapInArrow(run, "v string, kind string")
 
 
+def sql_functions(spark, sf):
+    """The cell functions called from SQL."""
+    from gridloom.functions import sql
+
+    sql.register(spark)
+    _values(spark, sf).createOrReplaceTempView("gl_values")
+    return spark.sql("select v, gl_cell_type(v) as kind, gl_clean(v) as cleaned, gl_year(v) as year, gl_is_label(v) as is_label, gl_hints_id(v) as hints_id, gl_is_summary_row(array(v, 'x')) as summary from gl_values")
+
+
 def flatten_grid(spark, sf):
     """A crosstab of orders by status and priority, its heads found, to long form."""
     by = _t(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).na.fill(0)
@@ -290,7 +299,7 @@ def pipeline_long(spark, sf):
     return Pipeline(n, spark=spark, order=["nation name"]).run("long")
 
 
-_NAMES = [row_entropy, column_shares, rules_by_sheet, bands_by_sheet, sheet_candidates, sheet_tables, strategy_board, paired_tables, gap_tables, sheet_models, sheet_tidy, streamed_tidy, robust_areas, dense_areas, header_ends, number_blocks, parse_classes, cell_codes, flatten_grid, atomize_ragged, multivalue_limits, structure, file_audit, file_prints, workbook_rows, workbook_sheets, workbook_tables, table_scores, scores_by_size, pipeline_frame, pipeline_long]
+_NAMES = [row_entropy, column_shares, rules_by_sheet, bands_by_sheet, sheet_candidates, sheet_tables, strategy_board, paired_tables, gap_tables, sheet_models, sheet_tidy, streamed_tidy, robust_areas, dense_areas, header_ends, number_blocks, parse_classes, cell_codes, sql_functions, flatten_grid, atomize_ragged, multivalue_limits, structure, file_audit, file_prints, workbook_rows, workbook_sheets, workbook_tables, table_scores, scores_by_size, pipeline_frame, pipeline_long]
 
 
 def queries() -> dict:
@@ -391,6 +400,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_classes": f"""with {_VALUES} select v, {classes} as kind, case when trim(v) = '' or v in {nan} then null else v end as kept, trim(v) in {nan} or {numeric} as numeric_or_nan,
             case when regexp_matches(v, '^[=+@\\-\\t\\r\\n]') then '''' || v else v end as sanitised, regexp_matches(trim(v), '^[=+@\\-]') and not {signed} as formula from values_""",
         "cell_codes": f"with {_VALUES} select v, {_sql_type('v')} as kind from values_",
+        "sql_functions": f"""with {_VALUES} select v, {_sql_type('v')} as kind, {_sql_clean('v')} as cleaned, {_sql_year('v')} as year, {_sql_label('v')} as is_label, regexp_matches(v, '(?i){K.ID_HINT}') as hints_id, {_sql_summary("[v, 'x']")} as summary from values_""",
         "flatten_grid": f"select o_orderpriority as vertical_1, s.status, cast(count(*) filter (where {parts} = s.status) as varchar) as orders from orders o, (select unnest(['F', 'O', 'P']) as status) s group by 1, 2",
         "atomize_ragged": "select p_partkey, split_part(p_name, ' ', 1) as w_1, case when p_partkey % 2 = 1 then split_part(p_name, ' ', 2) end as w_2 from part",
         "multivalue_limits": "select 'codes' as \"column\", ';' as delimiter, 1.0::double as confidence",

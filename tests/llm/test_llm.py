@@ -574,3 +574,26 @@ def test_mixing_lm_through_spark_against_brute_force(spark, monkeypatch, head):
                 want += np.log10(g * (known[c][0] == w) + (1 - g) * p) - np.log10(p)
         assert abs(got[i].score - want) < 1e-3 * max(1, abs(want)), i
     assert met > 50 and got[5].score <= 0
+
+
+def test_mixing_lm_looks_at_every_place(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    voc = [f"a{'b' * int(rng.integers(0, 30))}{i}same-end" for i in range(40)]
+    texts = [mixlm.words(" ".join(rng.choice(voc, n)).encode()) for n in (0, 1, 2, 3, 50, 400)]
+    flat, doc = mixlm.stream(texts)
+    of, context, after, _, _ = mixlm.anchors(flat, doc, mixlm.contexts(flat)[2])
+    assert np.bincount(of, minlength=len(texts)).tolist() == [max(0, len(w) - 2) for w in texts]
+    before = [(w[i], w[i + 1]) for w in texts for i in range(len(w) - 2)]
+    then = [(w[i + 2], i + 3 == len(w)) for w in texts for i in range(len(w) - 2)]
+    # as many hashes as there are different contexts and words, each of one of them
+    for plain, hashed in ((before, context), (then, after)):
+        assert len(set(plain)) == len(set(hashed.tolist())) == len(set(zip(plain, hashed.tolist(), strict=True)))
+    # a score does not depend on the blocks and buckets that its places go through
+    rows = [(i, " ".join(rng.choice(voc[:9], int(rng.integers(0, 40))))) for i in range(150)] + [(150, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    run = lambda: {r.doc_id: r.score for r in mixlm.scores(docs, mixlm.F.col("doc_id") % 5 != 2, mixlm.F.col("doc_id") % 4 == 1).collect()}
+    whole = run()
+    monkeypatch.setattr(mixlm, "BLOCK", 2)
+    monkeypatch.setattr(mixlm, "BUCKET", 1 << 12)
+    parts = run()
+    assert len(parts) == len(rows) and all(abs(parts[i] - whole[i]) < 1e-6 * max(1, abs(whole[i])) for i in whole)

@@ -4,7 +4,8 @@ STAGES are (name, function); a function takes (spark, docs, sf_dir) and gives a
 again as the next one's docs. All but the last give the columns of documents. Every stage works on all rows that its
 predecessor kept, and its decisions take effect.
 
-Models are fitted on bounded samples of what the stage is given (language; labels for toxicity). Null texts, texts
+The language model learns from all labelled texts it may see and takes its threshold from all their scores; the toxicity
+model is fitted on a bounded number of labelled documents. Null texts, texts
 without a letter and those in no learned language are rejected by the first stage, so later stages see texts; they handle null ids and repeated rows as
 their operators say. Empty inputs give empty outputs.
 """
@@ -18,8 +19,8 @@ from gridloom.llm import common, langid, mixing, simhash, toxicity, winnow
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what is in none of the learned languages: null texts, texts without a letter, and those whose score for
-    the learned languages together is well below what nearly all labelled texts reach."""
-    return langid.accepted(docs, *langid.guarded(langid.learnable(docs)))
+    the learned languages together is well below what nearly all labelled texts, every one of them scored, reach."""
+    return langid.guarded(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

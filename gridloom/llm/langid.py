@@ -7,6 +7,10 @@ text and bounded per step; all windows of a whole text count. Training is by bac
 windows drawn from a bounded sample: QUOTA documents per language at most, those of least hash, WINDOWS windows in all.
 Languages are few: one row of each goes to all workers, which pick by a threshold of the hash, so no language is sorted.
 
+The pipeline's model only starts from that sample: whole() then learns from every window of every labelled text, in parts
+that begin with the same model and are averaged by their windows, and guarded() takes its threshold from the scores of
+all labelled texts, not of a sample.
+
 A null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first. Without a
 labelled document every text is `und`. Very long texts are cut over several steps; nothing is truncated. Repeated rows
 get equal predictions; null ids are predicted like others and count as not held out. Extra columns are ignored.
@@ -21,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import in_bucket, join_bytes, prepare, text_column, written
 
@@ -28,6 +33,10 @@ WINDOW, HIDDEN, BATCH, STEPS, RATE, SEED = 64, 8, 256, 220, 0.02, 11
 QUOTA, WINDOWS = 400, 24_000
 #: Texts made up in no language, and the share of labelled texts that the threshold of guarded() lets through at least.
 STRANGERS, STAY = 400, 0.999
+#: Of whole(): bytes of a part, windows of a step, texts that are mixed at a time, and the rate.
+PART, MIXED, TOGETHER, FINE = 1 << 23, 512, 100, 0.002
+#: Rows among which a score is sought by sorting; buckets of the search before that.
+FEW, SPLIT = 1000, 1024
 #: Windows labelled at a time.
 ROWS = 4096
 UND = "und"
@@ -158,14 +167,16 @@ def strangers(n: int, seed: int = SEED) -> list[bytes]:
     return out
 
 
-def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Of the mean loss over x (T, B) bytes of texts with classes y: by all parameters, through time."""
+def gradients(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of the mean loss over x (T, B) bytes of texts with classes y, each with its weight: by all parameters, through time."""
     kept_a, kept_b = [], []
     hidden = model.ahead.u.shape[0]
     h = np.concatenate([model.ahead.states(x, kept_a), model.behind.states(x[::-1], kept_b)[::-1]], axis=2)
     d = softmax(h @ model.w + model.b)
     d[:, np.arange(x.shape[1]), y] -= 1
     d *= (x < 256)[:, :, None] / x.size
+    if weight is not None:
+        d *= weight[:, None]
     dh = d @ model.w.T
     a, b = model.ahead.back(x, kept_a, dh[:, :, :hidden]), model.behind.back(x[::-1], kept_b, dh[::-1, :, hidden:])
     return [a.byte, a.u, b.byte, b.u, np.einsum("tbh,tbl->hl", h, d), d.sum((0, 1))]
@@ -195,16 +206,27 @@ def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEP
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(xs), BATCH)
         x, y = np.ascontiguousarray(xs[pick].T), ys[pick]
-        grads = gradients(model, x, y)
-        rate = RATE * (1 - step / (steps + 1)) + 1e-3
-        for p, g, m, v in zip(params, grads, mean, square, strict=True):
-            g = np.clip(g, -1, 1)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        adam(params, gradients(model, x, y), mean, square, step, RATE * (1 - step / (steps + 1)) + 1e-3)
     return model
 
 
+def adam(params: list, grads: list, mean: list, square: list, step: int, rate: float) -> None:
+    for p, g, m, v in zip(params, grads, mean, square, strict=True):
+        g = np.clip(g, -1, 1)
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of texts, one a row, 256 where padded; and the text of each."""
+    flat, starts = join_bytes(texts)
+    count = -(-np.diff(starts) // WINDOW)
+    doc = np.repeat(np.arange(len(texts)), count)
+    at = (starts[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)))[:, None] + np.arange(WINDOW)
+    return np.where(at < starts[doc + 1][:, None], flat[np.minimum(at, max(len(flat) - 1, 0))], np.int16(256)) if len(doc) else np.zeros((0, WINDOW), np.int16), doc
+
+
 def sample(docs: DataFrame, quota: int = QUOTA) -> list[tuple[bytes, str]]:
     """(text, lang) of at most quota documents per language, those of least hash. docs: doc_id, text, lang."""
     rows = docs.filter("text is not null and lang is not null and length(text) > 0").withColumn("_h", F.xxhash64(F.col("doc_id"), F.length("text"), F.crc32(F.col("text").cast("binary"))))
@@ -245,22 +267,97 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(predictor(model), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
-def guarded(docs: DataFrame, quota: int = QUOTA) -> tuple[Model, float]:
-    """A model that also knows texts in no language, and a threshold: a tenth below the score that STAY of the labelled
-    texts reach."""
-    rows = sample(docs, quota)
-    model = train(rows, others=strangers(STRANGERS))
-    told = [t for t, _ in rows if has_letter(t)]
-    return model, 0.9 * float(np.quantile(model.learned(told), 1 - STAY, method="lower")) if told else 0.0
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose score for the learned languages together is above 0 and `least` or more."""
+def whole(docs: DataFrame, quota: int = QUOTA) -> tuple[Model, int]:
+    """A model that also knows texts in no language, learned from every window of every text of docs (doc_id, text, lang)
+    that has a letter and a label; and the number of these windows. Each language weighs the same."""
+    prepare(docs.sparkSession)
+    docs = labelled(docs)
+    start, others = train(sample(docs, quota), others=strangers(STRANGERS)), strangers(STRANGERS)
+    size, docs = F.octet_length("text"), docs.filter(F.col("lang").isin(start.langs))
+    by = {r[0]: (r[1], r[2]) for r in docs.groupBy("lang").agg(F.sum(F.ceil(size / WINDOW)), F.sum(size)).collect()}  # a row per language
+    if not by:
+        return start, 0
+    place = {g: k for k, g in enumerate(start.langs)}
+    weight = np.array([sum(n for n, _ in by.values()) / (len(by) * by[g][0]) for g in start.langs], np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches):
+        first = sent.value
+        params = [p.copy() for p in (first.ahead.byte, first.ahead.u, first.behind.byte, first.behind.u, first.w, first.b)]
+        mine = Model(first.langs, Gru(params[0], params[1]), Gru(params[2], params[3]), params[4], params[5])
+        mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        rng, strange, step, seen = np.random.default_rng(SEED), windows(others)[0], 0, 0
+        for x in batches:
+            texts, langs = text_column(x), x.column(x.schema.get_field_index("lang")).to_pylist()
+            for i in range(0, len(texts), TOGETHER):
+                rows, doc = windows(texts[i : i + TOGETHER])
+                y = np.array([place[g] for g in langs[i : i + TOGETHER]])[doc]
+                order = rng.permutation(len(rows))
+                seen += len(rows)
+                for j in range(0, len(order), MIXED):
+                    pick = order[j : j + MIXED]
+                    more = rng.integers(0, len(strange), len(pick) // 8 + 1)
+                    both = np.concatenate([rows[pick], strange[more]])
+                    even = np.concatenate([weight[y[pick]], np.full(len(more), len(pick) / (len(place) * len(more)), np.float32)])
+                    step += 1
+                    adam(params, gradients(mine, np.ascontiguousarray(both.T), np.concatenate([y[pick], np.full(len(more), len(place))]), even), mean, square, step, FINE)
+        value = np.concatenate([p.ravel() for p in params]).astype(float) * seen
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value, pa.float64()), pa.array(np.full(len(value), seen), pa.int64())], names=["at", "value", "seen"])
+
+    # dealt and ordered by the rows alone, so that the model doesn't depend on how they lie
+    parts, key = -(-sum(n for _, n in by.values()) // PART), F.xxhash64("text", "doc_id")
+    rows = docs.select("doc_id", "text", "lang").repartition(int(parts), key).sortWithinPartitions(key, "text", "lang").mapInArrow(run, "at int, value double, seen long")
+    got = np.array(rows.groupBy("at").agg(F.sum("value"), F.sum("seen")).orderBy("at").collect())  # a row per parameter
+    new, i, out = got[:, 1] / got[:, 2], 0, []
+    for p in (start.ahead.byte, start.ahead.u, start.behind.byte, start.behind.u, start.w, start.b):
+        out.append(new[i : i + p.size].reshape(p.shape).astype(p.dtype))
+        i += p.size
+    return Model(start.langs, Gru(out[0], out[1]), Gru(out[2], out[3]), out[4], out[5]), int(got[0, 2])
+
+
+def ranked(rows: DataFrame, score: str, k: int) -> float:
+    """The k-th least score, from 0, exactly: by counts of ever smaller ranges."""
+    rows = rows.select(F.col(score).alias("s"))
+    low, high = rows.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        part = rows.filter(F.col("s").between(low, high))
+        bucket = F.least(F.lit(SPLIT - 1), F.floor((F.col("s") - F.lit(low)) / F.lit(high - low) * SPLIT))
+        found = sorted(tuple(r) for r in part.groupBy(bucket.alias("b")).agg(F.count("*"), F.min("s"), F.max("s")).collect())  # SPLIT rows
+        for _, n, a, b in found:
+            if k < n:
+                break
+            k -= n
+        if n <= FEW or (a, b) == (low, high):
+            return sorted(r[0] for r in rows.filter(F.col("s").between(a, b)).collect())[k]
+        low, high = a, b
+    return low
+
+
+def guarded(docs: DataFrame, quota: int = QUOTA) -> DataFrame:
+    """The rows of docs, all columns, whose score for the learned languages together is above 0 and not under a threshold:
+    a tenth below the score that STAY of all learnable labelled texts reach."""
+    model, _ = whole(learnable(docs), quota)
+    rows = scored(docs, model)
+    told = labelled(rows).filter(~in_bucket("doc_id", 4, 2))
+    n = told.count()
+    least = 0.9 * ranked(told, SCORE, int((n - 1) * (1 - STAY))) if n else 0.0
+    return rows.filter((F.col(SCORE) > 0) & (F.col(SCORE) >= least)).drop(SCORE)
+
+
+SCORE = "_learned"
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs and SCORE, the score of each text for the learned languages together."""
 
     def run(batches):
         for x in batches:
-            score = model.learned(text_column(x))
-            yield x.filter(pa.array((score > 0) & (score >= least)))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(model.learned(text_column(x)), pa.float64())], names=[*x.schema.names, SCORE])
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    kind = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+    return written(docs.mapInArrow(run, kind), "language")

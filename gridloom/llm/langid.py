@@ -18,6 +18,7 @@ get equal predictions; null ids are predicted like others and count as not held
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,15 +38,16 @@ STRANGERS, STAY = 400, 0.999
 PART, MIXED, TOGETHER, FINE = 1 << 23, 512, 100, 0.002
 #: Rows among which a score is sought by sorting; buckets of the search before that.
 FEW, SPLIT = 1000, 1024
-#: Windows labelled at a time.
-ROWS = 4096
+#: Windows labelled at a time; what a step of these reads stays in a core's cache.
+ROWS = 1024
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    with np.errstate(over="ignore"):  # 1 / (1 + infinity) is 0, as it should be
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -63,37 +65,109 @@ class Gru:
 
     def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
         """x: (T, B) bytes -> (T, B, H)."""
-        n = self.u.shape[0]
-        h = np.zeros((x.shape[1], n), np.float32)
-        out = np.empty((*x.shape, n), np.float32)
-        gates, last = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
-        for t in range(len(x)):
-            b = self.byte.take(x[t], axis=0)
-            zr = sigmoid(b[:, : 2 * n] + h @ gates)
-            z, r = zr[:, :n], zr[:, n:]
-            rh = r * h
-            c = np.tanh(b[:, 2 * n :] + rh @ last)
-            if keep is not None:
-                keep.append((h, z, r, rh, c))
-            h = c + z * (h - c)
-            out[t] = h
-        return out
+        kept = forward([self], x[:, None], Space(), keep is not None)
+        if keep is not None:
+            keep.extend(kept)
+        return kept[0][1:, 0]
 
     def back(self, x: np.ndarray, kept: list, grad: np.ndarray) -> Gru:
         """Gradients by backpropagation through time; grad: of the states."""
-        n = self.u.shape[0]
-        out, dh = Gru(np.zeros_like(self.byte), np.zeros_like(self.u)), np.zeros(grad.shape[1:], np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            h, z, r, rh, c = kept[t]
-            dh = dh + grad[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            drh = dc @ self.u[:, 2 * n :].T
-            dzr = np.concatenate([dh * (h - c) * z * (1 - z), drh * h * r * (1 - r)], axis=1)
-            np.add.at(out.byte, x[t], np.concatenate([dzr, dc], axis=1))
-            out.u[:, : 2 * n] += h.T @ dzr
-            out.u[:, 2 * n :] += rh.T @ dc
-            dh = dh * z + drh * r + dzr @ self.u[:, : 2 * n].T
-        return out
+        return backward([self], x[:, None], kept, grad[:, None], Space())[0]
+
+
+class Space:
+    """Arrays by name that are used again step after step: fresh memory costs more than what is computed in it."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+        size, found = math.prod(shape), self.kept.get(name)
+        if found is None or found.size < size or found.dtype != kind:
+            found = self.kept[name] = np.empty(size, kind)
+        return found[:size].reshape(shape)
+
+
+def gates(grus: list[Gru]) -> list[np.ndarray]:
+    """The networks' rows per byte (3, G, 257, H) and matrices (3, G, H, H), each gate's by itself: what a step works on is
+    then contiguous, and all networks take a step in the same calls."""
+    n = grus[0].u.shape[0]
+    stacked = (np.stack([g.byte for g in grus]), np.stack([g.u for g in grus]))
+    return [np.ascontiguousarray(p.reshape(len(grus), -1, 3, n).transpose(2, 0, 1, 3)) for p in stacked]
+
+
+def forward(grus: list[Gru], x: np.ndarray, space: Space, keep: bool) -> tuple[np.ndarray, ...]:
+    """x: (T, G, B), bytes for each network -> states (T + 1, G, B, H), the first zero; and, of all steps if these are to be
+    kept, the gates update and reset (T, 2, G, B, H), the reset states and the candidates."""
+    byte, u = gates(grus)
+    _, many, size, n = byte.shape
+    two, last, base = byte[:2].reshape(-1, n), byte[2].reshape(-1, n), size * np.arange(2 * many).reshape(2, many, 1)
+    one, kind, steps = (many, x.shape[2], n), byte.dtype, len(x) if keep else 1
+    states, zrs = space("states", (len(x) + 1, *one), kind), space("zr", (steps, 2, *one), kind)
+    rhs, cs = space("rh", (steps, *one), kind), space("c", (steps, *one), kind)
+    at, more = space("at", (2, many, x.shape[2]), np.intp), space("more", (2, *one), kind)
+    states[0] = 0
+    for t in range(len(x)):
+        k = t if keep else 0
+        h, zr, rh, c, new = states[t], zrs[k], rhs[k], cs[k], states[t + 1]
+        np.add(x[t], base, out=at)
+        two.take(at, axis=0, out=zr, mode="clip")
+        zr += np.matmul(h, u[:2], out=more)
+        sigmoid(zr)
+        np.multiply(zr[1], h, out=rh)
+        last.take(at[0], axis=0, out=c, mode="clip")
+        c += np.matmul(rh, u[2], out=more[0])
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=new)
+        new *= zr[0]
+        new += c
+    return states, zrs, rhs, cs
+
+
+def backward(grus: list[Gru], x: np.ndarray, kept: tuple[np.ndarray, ...], grad: np.ndarray, space: Space) -> list[Gru]:
+    """Gradients by backpropagation through time; kept: of forward(); grad: (T, G, B, H), of the states."""
+    _, u = gates(grus)
+    states, zrs, rhs, cs = kept
+    n, kind = u.shape[-1], grad.dtype
+    back = np.ascontiguousarray(u.transpose(0, 1, 3, 2))
+    # of every step, the gradients of the three gates
+    d = space("d", (3, *grad.shape), kind)
+    dh, stay, more = (space(x, grad.shape[1:], kind) for x in ("dh", "stay", "back"))
+    dh[:] = 0
+    for t in range(len(x) - 1, -1, -1):
+        h, (z, r), c, (dz, dr, dc) = states[t], zrs[t], cs[t], d[:, t]
+        dh += grad[t]
+        np.multiply(dh, z, out=stay)
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= np.subtract(dh, stay, out=dh)
+        np.subtract(h, c, out=dz)
+        dz *= stay
+        dz *= np.subtract(1, z, out=dh)
+        drh = np.matmul(dc, back[2], out=more)
+        drh *= r
+        np.multiply(drh, h, out=dr)
+        dr *= np.subtract(1, r, out=dh)
+        np.add(stay, drh, out=dh)
+        dh += np.matmul(dz, back[0], out=more)
+        dh += np.matmul(dr, back[1], out=more)
+    out = []
+    for k, g in enumerate(grus):
+        # sums over equal bytes by sorting them
+        of = x[:, k].ravel()
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+        gru, flat, turned = Gru(np.zeros_like(g.byte), np.zeros_like(g.u)), space("flat", (len(of), n), kind), space("turned", (n, len(of)), kind)
+        for j in range(3):
+            mine = slice(j * n, (j + 1) * n)
+            gru.u[:, mine] = np.matmul((rhs if j == 2 else states[:-1])[:, k].transpose(0, 2, 1), d[j, :, k]).sum(0)
+            if len(first):
+                np.copyto(flat.reshape(*x[:, k].shape, n), d[j, :, k])
+                turned[:] = flat.take(order, axis=0, out=space("sorted", flat.shape, kind), mode="clip").T
+                gru.byte[of[first], mine] = np.add.reduceat(turned, first, axis=1).T
+        out.append(gru)
+    return out
 
 
 @dataclass
@@ -104,10 +178,18 @@ class Model:
     w: np.ndarray
     b: np.ndarray
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
+    def positions(self, x: np.ndarray, space: Space | None = None) -> np.ndarray:
         """x: (T, B) bytes, 256 where padded -> (T, B, L) probabilities of every byte's label."""
-        h = np.concatenate([self.ahead.states(x), self.behind.states(x[::-1])[::-1]], axis=2)
-        return softmax(h @ self.w + self.b)
+        space = space or Space()
+        return self.labels(forward([self.ahead, self.behind], ways(x), space, False)[0], space)
+
+    def labels(self, states: np.ndarray, space: Space) -> np.ndarray:
+        """The probabilities of the labels by the states of both ways."""
+        n, shape = states.shape[-1], (len(states) - 1, states.shape[2], len(self.b))
+        out = np.matmul(states[1:, 0], self.w[:n], out=space("labels", shape, self.w.dtype))
+        out += np.matmul(states[:0:-1, 1], self.w[n:], out=space("behind", shape, self.w.dtype))
+        out += self.b
+        return softmax(out)
 
     def pooled(self, told: list[bytes]) -> np.ndarray:
         """(texts, classes): the mean over its bytes of each text's probabilities."""
@@ -116,11 +198,12 @@ class Model:
         count = -(-np.diff(starts) // WINDOW)  # windows of each text
         doc = np.repeat(np.arange(len(told)), count)
         begin = starts[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+        space = Space()
         for i in range(0, len(doc), ROWS):
             d, at = doc[i : i + ROWS], begin[i : i + ROWS, None] + np.arange(WINDOW)
             there = at < starts[d + 1][:, None]
             x = np.where(there, flat[np.minimum(at, len(flat) - 1)], np.int16(256)).T
-            p = self.positions(np.ascontiguousarray(x))
+            p = self.positions(np.ascontiguousarray(x), space)
             p *= there.T[:, :, None]
             np.add.at(sums, d, p.sum(0))
         return np.clip(sums / np.maximum(np.diff(starts), 1)[:, None], 0, 1)
@@ -142,14 +225,23 @@ class Model:
         return self.pooled(told)[:, : len(self.langs)].sum(1) if self.langs else np.zeros(len(texts))
 
 
+def ways(x: np.ndarray) -> np.ndarray:
+    """x: (T, B) -> (T, 2, B), ahead and behind."""
+    return np.stack([x, x[::-1]], axis=1)
+
+
 def has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text.decode("utf-8", "replace")))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
+    # of few columns; numpy's reductions over a short last axis are slow
+    most = x[..., 0].copy()
+    for k in range(1, x.shape[-1]):
+        np.maximum(most, x[..., k], out=most)
+    x -= most[..., None]
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= x @ np.ones((x.shape[-1], 1), x.dtype)
     return x
 
 
@@ -167,19 +259,21 @@ def strangers(n: int, seed: int = SEED) -> list[bytes]:
     return out
 
 
-def gradients(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+def gradients(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, space: Space | None = None) -> list[np.ndarray]:
     """Of the mean loss over x (T, B) bytes of texts with classes y, each with its weight: by all parameters, through time."""
-    kept_a, kept_b = [], []
-    hidden = model.ahead.u.shape[0]
-    h = np.concatenate([model.ahead.states(x, kept_a), model.behind.states(x[::-1], kept_b)[::-1]], axis=2)
-    d = softmax(h @ model.w + model.b)
+    space, two, n = space or Space(), ways(x), model.ahead.u.shape[0]
+    kept = forward([model.ahead, model.behind], two, space, True)
+    states = kept[0]
+    d = model.labels(states, space)
     d[:, np.arange(x.shape[1]), y] -= 1
-    d *= (x < 256)[:, :, None] / x.size
-    if weight is not None:
-        d *= weight[:, None]
-    dh = d @ model.w.T
-    a, b = model.ahead.back(x, kept_a, dh[:, :, :hidden]), model.behind.back(x[::-1], kept_b, dh[::-1, :, hidden:])
-    return [a.byte, a.u, b.byte, b.u, np.einsum("tbh,tbl->hl", h, d), d.sum((0, 1))]
+    share = (x < 256) / x.size
+    d *= (share if weight is None else share * weight)[:, :, None]
+    grad = space("grad", (len(x), *states.shape[1:]), states.dtype)
+    np.matmul(d, model.w[:n].T, out=grad[:, 0])
+    np.matmul(d[::-1], model.w[n:].T, out=grad[:, 1])
+    a, b = backward([model.ahead, model.behind], two, kept, grad, space)
+    w = np.concatenate([np.matmul(h.transpose(0, 2, 1), d).sum(0) for h in (states[1:, 0], states[:0:-1, 1])])
+    return [a.byte, a.u, b.byte, b.u, w, d.sum((0, 1))]
 
 
 def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED, others: list[bytes] | None = None) -> Model:
@@ -202,11 +296,11 @@ def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEP
             ys.append(k)
     xs, ys = np.array(xs), np.array(ys)
     params = [model.ahead.byte, model.ahead.u, model.behind.byte, model.behind.u, model.w, model.b]
-    mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    mean, square, space = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], Space()
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(xs), BATCH)
         x, y = np.ascontiguousarray(xs[pick].T), ys[pick]
-        adam(params, gradients(model, x, y), mean, square, step, RATE * (1 - step / (steps + 1)) + 1e-3)
+        adam(params, gradients(model, x, y, space=space), mean, square, step, RATE * (1 - step / (steps + 1)) + 1e-3)
     return model
 
 
@@ -290,7 +384,7 @@ def whole(docs: DataFrame, quota: int = QUOTA) -> tuple[Model, int]:
         params = [p.copy() for p in (first.ahead.byte, first.ahead.u, first.behind.byte, first.behind.u, first.w, first.b)]
         mine = Model(first.langs, Gru(params[0], params[1]), Gru(params[2], params[3]), params[4], params[5])
         mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        rng, strange, step, seen = np.random.default_rng(SEED), windows(others)[0], 0, 0
+        rng, strange, step, seen, space = np.random.default_rng(SEED), windows(others)[0], 0, 0, Space()
         for x in batches:
             texts, langs = text_column(x), x.column(x.schema.get_field_index("lang")).to_pylist()
             for i in range(0, len(texts), TOGETHER):
@@ -304,7 +398,7 @@ def whole(docs: DataFrame, quota: int = QUOTA) -> tuple[Model, int]:
                     both = np.concatenate([rows[pick], strange[more]])
                     even = np.concatenate([weight[y[pick]], np.full(len(more), len(pick) / (len(place) * len(more)), np.float32)])
                     step += 1
-                    adam(params, gradients(mine, np.ascontiguousarray(both.T), np.concatenate([y[pick], np.full(len(more), len(place))]), even), mean, square, step, FINE)
+                    adam(params, gradients(mine, np.ascontiguousarray(both.T), np.concatenate([y[pick], np.full(len(more), len(place))]), even, space), mean, square, step, FINE)
         value = np.concatenate([p.ravel() for p in params]).astype(float) * seen
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value, pa.float64()), pa.array(np.full(len(value), seen), pa.int64())], names=["at", "value", "seen"])
 

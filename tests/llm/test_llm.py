@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -262,6 +263,22 @@ def test_gru_gradients_of_all_parameters_and_pooling():
     assert np.allclose(model.pooled([text])[0], np.concatenate(cut).mean(0), atol=1e-5)
 
 
+def test_training_steps_use_memory_again_and_give_the_same():
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b"], langid.Gru.new(8, rng), langid.Gru.new(8, rng), rng.normal(0, 0.5, (16, 3)).astype(np.float32), np.zeros(3, np.float32))
+    space, peaks = langid.Space(), []
+    for size in (200, 7, 200, 90):  # a step must not see what a larger one left
+        x, y, weight = rng.integers(97, 123, (langid.WINDOW, size)), rng.integers(0, 3, size), rng.random(size)
+        x[50:, : size // 3] = 256
+        want = langid.gradients(model, x, y, weight)
+        tracemalloc.start()
+        got = langid.gradients(model, x, y, weight, space)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert peaks[2] < peaks[0] / 3
+
+
 def test_language_sample_is_the_least_hashes(spark):
     rows = [(i, f"text {i}", g) for i in range(900) for g in ("x", "y") if g == "x" or i < 30] + [(0, "text 0", "x"), (None, None, "x"), (1, "t", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

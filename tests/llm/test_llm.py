@@ -616,6 +616,24 @@ def test_mixing_lm_looks_at_every_place(spark, monkeypatch):
     assert len(parts) == len(rows) and all(abs(parts[i] - whole[i]) < 1e-6 * max(1, abs(whole[i])) for i in whole)
 
 
+def test_pairs_of_any_count_come_back_and_nothing_read_no_more_is_left(spark):
+    rng = np.random.default_rng(3)
+    n, held = (rng.choice([0, 1, 2, 14, 15, 16, 255, 70_000], 500).astype(np.uint32) for _ in range(2))
+    code, more, upto = mixlm.packed(n, held)
+    for a, b in ((0, 500), (17, 17), (17, 180), (499, 500)):
+        got = mixlm.unpacked(code[a:b], more[upto[a] : upto[b]].ravel())
+        assert code.itemsize == 1 and np.array_equal(got[0], n[a:b]) and np.array_equal(got[1], held[a:b])
+    # a pair that comes 40 times in counted texts and 30 times in the fold
+    rows = [(k, r, "one two three") for k, r in enumerate([1] * 40 + [2] * 30)]
+    found = mixlm.answered(spark.createDataFrame(rows, "row long, role int, text string").coalesce(1), 1)
+    assert [tuple(x) for x in found.filter("gate is not null").select("gate", "correct", "asked").collect()] == [(int(mixlm.gate(np.array([40]), np.array([40]))[0]), 30, 30)]
+    docs = spark.createDataFrame([(i, "one two three four " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    before = set(common.made())
+    out = mixlm.scores(docs, mixlm.F.col("doc_id") % 5 != 2, mixlm.F.col("doc_id") % 4 == 1)
+    left = set(common.made()) - before
+    assert out.count() == 40 and not any("-rows-" in x for x in left) and any("-scored-" in x for x in left)
+
+
 def test_language_model_and_threshold_from_all_labelled_texts(spark):
     rng = np.random.default_rng(12)
     voc = {"aa": "alpha beta gamma delta river stone".split(), "bb": "zorro quux wyrd jinx flux vexed".split()}

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -634,6 +635,37 @@ def test_pairs_of_any_count_come_back_and_nothing_read_no_more_is_left(spark):
     assert out.count() == 40 and not any("-rows-" in x for x in left) and any("-scored-" in x for x in left)
 
 
+def test_pairs_and_places_take_little_disk(spark):
+    rng = np.random.default_rng(4)
+    for size in ([1], [3, 1, 700, 2], [5000] * 3):
+        key = np.concatenate([np.sort(rng.integers(0, 1 << 64, n, np.uint64) >> np.uint64(shift)) for n, shift in zip(size, [0, 20, 3, 40], strict=False)])
+        spread = mixlm.apart(key, np.array(size))
+        assert spread.nbytes == key.nbytes and np.array_equal(mixlm.together(spread, np.array(size)), key)
+    n = np.array([0, 254, 255, 256, 7, 1 << 31])
+    code, more = mixlm.small(n)
+    back, rest = mixlm.whole(code.tobytes(), np.append(more, np.uint32(5)))
+    assert code.itemsize == 1 and np.array_equal(back, n) and rest.tolist() == [5]
+    # what goes to the shuffle, compressed as there: a pair took more than 8 bytes, a place 12 before
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(300), pa.int64()), "role": pa.array([1, 1, 2] * 100, pa.int32()), "text": rows})
+    out = pa.Table.from_batches(list(mixlm._gather(3)([batch]))).to_pylist()
+    taken = lambda some: sum(len(pa.compress(b"".join(r[c] for c in ("key", "n", "held")), codec="lz4_raw", asbytes=True)) for r in some)
+    asked, places = [r for r in out if r["bucket"] >= 0], [r for r in out if r["bucket"] < 0]
+    assert taken(asked) < 7.5 * sum(len(r["n"]) for r in asked) and sum(len(r["n"]) for r in asked) > 100_000
+    assert sum(len(r[c]) for r in places for c in ("key", "n", "held")) < 6 * len(np.unique(np.concatenate([mixlm.places(*mixlm.stream([mixlm.words(t.encode())])) for t in rows])))
+    # shuffles that led to a table go with its writing, though the frame lives on
+    blocks = lambda: set(re.findall(r"shuffle_\d+", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+    setting, before = spark.conf.get(common._CLEANUP), blocks()
+    frame = spark.range(1000).repartition(3, "id")
+    table = common.written(frame, "lean", lean=True)
+    for _ in range(100):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and table.count() == frame.count() == 1000 and spark.conf.get(common._CLEANUP) == setting
+    assert all(".zstd." in f for f in table.inputFiles())
+
+
 def test_language_model_and_threshold_from_all_labelled_texts(spark):
     rng = np.random.default_rng(12)
     voc = {"aa": "alpha beta gamma delta river stone".split(), "bb": "zorro quux wyrd jinx flux vexed".split()}
